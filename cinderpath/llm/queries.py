@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import decontaminate, lattice, minhash, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,25 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicate_vectors(_read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_output.encode_and_read_back(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), n=10))
+
+
 QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
+    "op5_token_id_output": op5_token_id_output,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
