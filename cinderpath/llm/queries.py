@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lattice, minhash, token_output, toxicity
+from . import decontaminate, html_extract, lattice, minhash, token_output, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -34,6 +38,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_id_output": op5_token_id_output,
