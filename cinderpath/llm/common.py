@@ -157,3 +157,17 @@ def sequence_hash(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         total = total * _U(0x9FB21C651E98DF25) + hashes[i : i + n]
     return mix(total + _U(k))
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of nodes 0..n-1 with links (a, b), the least node of each one's component."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new

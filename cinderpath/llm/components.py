@@ -21,31 +21,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .distinct()
     )
-    nodes = links
-    before = None
-    while True:
+    while not _flat(links):
         # Large-star: of u's neighbours (either way), those above u move to the least of u and its neighbours.
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = save(
-            both.where("v > u").join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        # Small-star: each node's lower neighbours, and itself, move to the least of them.
-        least2 = save(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = save(
-            large.join(least2, "u")
-            .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u != v")
-            .distinct()
-        )
-        mark = tuple(small.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        done = mark == before
-        for x in (least, large, least2) + (() if links is nodes else (links,)):
-            drop(spark, x)
-        links, before = small, mark
-        if done:
-            break
-    roots = links.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
-    tops = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return save(roots.unionByName(tops).groupBy("node").agg(F.min("component").alias("component")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().persist()
+        # Small-star: a node's lower neighbours, and the node itself, move to the least of them.
+        lowest = large.groupBy("u").agg(F.min("v").alias("m")).persist()
+        pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+        small = save(large.join(lowest, "u").select(F.explode(F.array(pair("u", "m"), pair("v", "m"))).alias("e")).select("e.u", "e.v").where("u != v").distinct())
+        for x in (least, large, lowest):
+            x.unpersist()
+        drop(spark, links)
+        links = small
+    tops = links.select(F.col("v").alias("node")).distinct()
+    return save(links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component"))))
+
+
+def _flat(links: DataFrame) -> bool:
+    """Whether each node has one link at most, to a node without any: then the stars are the components."""
+    if not links.groupBy("u").count().where("count > 1").isEmpty():
+        return False
+    return links.select(F.col("v").alias("u")).distinct().join(links, "u", "left_semi").isEmpty()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, mix, save, tune
+from .common import _U, local_roots, mix, save, tune
 from .components import connected_components
 
 #: A pair at cosine 0.95 meets in a table with a chance near 0.72; in none of eight with one near 4e-5.
@@ -96,19 +96,6 @@ def _entries(batches):
             )
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = np.minimum(new, new[new])
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(group: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, ...] | None:
     """Of one block of one cell: (node, its local root, links counted here) for each node that has a link."""
     left, right = np.flatnonzero(group["home"] & (group["role"] != 2)), np.flatnonzero(group["role"] != 1)
@@ -138,7 +125,7 @@ def _compare(group: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, .
         here |= first & (place == group["cell"])
         open_ &= ~first
     degree = np.bincount(pa_[here], group["copies"][b[here]], len(used)) + np.bincount(pb_[here], group["copies"][a[here]], len(used))
-    roots = _local_roots(len(used), pa_, pb_)
+    roots = local_roots(len(used), pa_, pb_)
     return ids[used], ids[used][roots], degree.astype(np.int64)
 
 

@@ -23,53 +23,106 @@ WRITER = {
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Distinct white-space separated chunks whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct white-space separated chunks that a worker remembers, and distinct pieces of chunks.
+CHUNKS, PIECES = 150_000, 300_000
+_TAIL = b".,;:!?%&*#$()"
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk between ASCII white space, which no token spans, and remembers chunks."""
+    """Encodes texts chunk by chunk between ASCII white space, which no token spans, and remembers chunks.
+
+    A chunk of letters and then ASCII punctuation is two words to the tokenizer, so its letters and its
+    punctuation are pieces that are encoded, and remembered, apart; any other chunk is a piece. New pieces of
+    letters are encoded many at a time, as one text, and told apart by the ends of words that the vocabulary
+    marks; should their number differ, one by one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.pieces: dict[bytes, int] = {b"": 0}
         self.ids = np.zeros(1 << 16, np.int32)
-        self.at = np.zeros(1 << 16, np.int64)
+        self.at = np.zeros(1 << 16, np.int64)  # where each piece's ids begin; they end where the next one's do
         self.used = 0
+        self.clear_chunks()
 
-    def learn(self, chunks: list[bytes]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        n, more = len(self.known), int(sizes.sum())
-        while self.used + more > len(self.ids):
+    def clear_chunks(self) -> None:
+        self.chunks: dict[bytes, int] = {}
+        self.parts = np.zeros((1 << 16, 2), np.int32)
+
+    def add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.pieces)
+        while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(chunks) + 1 > len(self.at):
+        while n + len(pieces) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.ids[self.used : self.used + more] = np.fromiter((i for e in encoded for i in e), np.int32, more)
-        self.at[n + 1 : n + 1 + len(chunks)] = self.used + np.cumsum(sizes)
-        self.used += more
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.at[n + 1 : n + 1 + len(pieces)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.pieces.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def learn_pieces(self, pieces: list[bytes], letters: bool) -> None:
+        for i in range(0, len(pieces), 512):
+            part = pieces[i : i + 512]
+            if letters:
+                ids = np.array(self.encode([b" ".join(part)])[0], np.int32)
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) == len(part):
+                    self.add(part, ids, np.diff(ends, prepend=0))
+                    continue
+            each = self.encode(part)
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            self.add(part, np.fromiter((i for e in each for i in e), np.int32, int(sizes.sum())), sizes)
+
+    def learn(self, chunks: list[bytes]) -> None:
+        pairs, letters, other = [], set(), set()
+        known = self.pieces
+        for c in chunks:
+            word = c.rstrip(_TAIL)
+            if word in known:
+                pair = (word, c[len(word) :])
+            elif word.decode().isalpha():
+                letters.add(word)
+                pair = (word, c[len(word) :])
+            else:
+                pair = (c, b"")
+                other.add(c)
+            if pair[1] and pair[1] not in known:
+                other.add(pair[1])
+            pairs += pair
+        self.learn_pieces(sorted(letters), True)
+        self.learn_pieces(sorted(other.difference(known)), False)
+        n = len(self.chunks)
+        while n + len(chunks) > len(self.parts):
+            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
+        self.parts[n : n + len(chunks)] = np.fromiter(map(known.__getitem__, pairs), np.int32, len(pairs)).reshape(-1, 2)
+        self.chunks.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
-        if len(self.known) > REMEMBERED:
+        if len(self.pieces) > PIECES:
             self.clear()
         chunks = [t.split() for t in texts]
         flat = [c for row in chunks for c in row]
-        fresh = list(set(flat).difference(self.known))
-        for i in range(0, len(fresh), 4096):
-            self.learn(fresh[i : i + 4096])
-        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if len(self.chunks) > CHUNKS:
+            self.clear_chunks()
+        self.learn(list(set(flat).difference(self.chunks)))
+        which = self.parts[np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))].reshape(-1)
         start, size = self.at[which], self.at[which + 1] - self.at[which]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.arange(total) + np.repeat(start - (ends - size), size)]
-        bound = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(row) for row in chunks])]).astype(np.int64)]
+        bound = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum([len(row) for row in chunks])]).astype(np.int64)]
         return ids, np.diff(bound)
 
 
