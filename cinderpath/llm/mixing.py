@@ -115,7 +115,11 @@ def mix(documents: DataFrame, labels: DataFrame, domain_col: str = "source", wei
 
 
 def mixed_documents(documents: DataFrame, mixture: DataFrame) -> DataFrame:
-    """The documents, each as often as its copies say; documents without an id stay once."""
-    rows = documents.join(mixture.select(F.col("doc_id").alias("mixed_id"), "copies"), documents["doc_id"] == F.col("mixed_id"), "left")
+    """The documents, each as often as its copies say; documents without an id stay once.
+
+    The mixture has a row for each document, so it is never broadcast: both sides are shuffled at every size.
+    """
+    copies = mixture.select(F.col("doc_id").alias("mixed_id"), "copies").hint("merge")
+    rows = documents.join(copies, documents["doc_id"] == F.col("mixed_id"), "left")
     times = F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))
     return rows.where(F.coalesce("copies", F.lit(1)) > 0).withColumn("time", F.explode(times)).select(*(documents[c] for c in documents.columns))
