@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, prefix_hash, save, span_hash, text_blocks, tune
+from .common import _U, drop, prefix_hash, save, span_hash, text_blocks, tune
 from .suffix_groups import suffix_array
 
 #: Bytes of a string, and of its anchor.
@@ -237,13 +237,16 @@ def deduplicate_substrings(documents: DataFrame, length: int = LENGTH, gram: int
     tune(documents.sparkSession)
     docs = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     long_ = docs.where(F.octet_length("text") >= length)
+    spark = documents.sparkSession
     keys = long_.mapInArrow(_anchor_rows(length, gram, False), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     keys = save(keys.where("lo < hi").select("key"))
     places = long_.mapInArrow(_anchor_rows(length, gram, True), "key long, doc_id long, pos int").join(keys, "key", "left_semi")
     places = save(places.groupBy("doc_id").agg(F.collect_list("pos").alias("places")))
-    rows = long_.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_contexts(length, gram), "key long, context binary, left int, doc_id long, pos int")
-    rows = save(rows.withColumn("cid", F.xxhash64("context", "left")))
-
+    placed = save(long_.join(places, "doc_id").select("doc_id", "text", "places"))
+    for table in (keys, places):
+        drop(spark, table)
+    # Contexts are cut anew from the placed texts whenever they are read; written are the different ones alone.
+    rows = placed.mapInArrow(_contexts(length, gram), "key long, context binary, left int, doc_id long, pos int").withColumn("cid", F.xxhash64("context", "left"))
     contexts = save(rows.groupBy("key", "cid", "context", "left").agg(F.min("doc_id").alias("doc")))
     several = contexts.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("n > 1 and lo < hi")
     several = save(several.select("key", "n"))
@@ -255,8 +258,13 @@ def deduplicate_substrings(documents: DataFrame, length: int = LENGTH, gram: int
     hits = strings.join(first, ["key", "back", "string"]).where("least < doc")
     hits = hits.groupBy("key", "cid").agg(F.bit_or(F.expr("shiftleft(1L, back)")).alias("mask"))
     masks = save(masks.unionByName(hits).where("mask != 0"))
+    drop(spark, strings)
     verdict = save(contexts.select("key", "cid", "doc").join(masks, ["key", "cid"], "left").select("key", "cid", "doc", F.coalesce("mask", F.lit(0).cast("long")).alias("mask")))
+    for table in (contexts, masks, several, first):
+        drop(spark, table)
     found = rows.select("key", "cid", "doc_id", "pos").join(verdict, ["key", "cid"]).where("doc_id > doc or mask != 0")
     found = save(found.groupBy("doc_id").agg(F.collect_list(F.struct("pos", (F.col("doc_id") > F.col("doc")).alias("full"), "mask")).alias("found")))
+    for table in (verdict, placed):
+        drop(spark, table)
     out = docs.join(found, "doc_id", "left").select("doc_id", "text", "found")
     return out.mapInArrow(_cut(length, gram), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
