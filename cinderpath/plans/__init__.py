@@ -1,6 +1,6 @@
 """Registered queries by area; importing them fills the registry."""
 
-from . import relational, aggregates, graphs, operations  # noqa: F401, I001  the flagship comes first
+from . import relational, aggregates, graphs, evidence, operations  # noqa: F401, I001  the flagship comes first
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
