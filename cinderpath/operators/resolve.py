@@ -10,7 +10,7 @@ from .graph import components, cut
 
 
 def _blocks(names: DataFrame) -> DataFrame:
-    """id, block for each 3-gram prefix signature: the name's first three letters, and its sorted words' first letters."""
+    """type, norm, block: the first three letters with two bands of length, and the sorted words' first letters."""
     initials = F.array_join(F.array_sort(F.transform(F.split("norm", " "), lambda w: F.substring(w, 1, 2))), "")
     return names.select("type", "norm", F.explode(F.array_distinct(F.array(F.concat(F.lit("p:"), F.substring("norm", 1, 3), F.lit(":"), F.floor(F.length("norm") / 4)), F.concat(F.lit("p:"), F.substring("norm", 1, 3), F.lit(":"), F.floor(F.length("norm") / 4) + 1), F.concat(F.lit("i:"), initials)))).alias("block"))
 
@@ -18,9 +18,9 @@ def _blocks(names: DataFrame) -> DataFrame:
 def resolve(entities: DataFrame, least: float = 0.85, hub_block: int = 1000) -> DataFrame:
     """id, cluster (the least id of a cluster) of entities (id, type, name).
 
-    Equal normalised names of a type are one node, so copies never pair up. Nodes that share a block are
-    compared along the block's order: each with the next ones up to a fixed window in a sort by name, in blocks of
-    more than hub_block rows; smaller blocks are compared whole. Links are edit similarity of `least` or more.
+    Equal normalised names of a type are one node, so copies never pair up. Different names that share a block are
+    compared; a block of more than hub_block names is split by the names' first twelve letters. Links are edit
+    similarity of `least` or more; similar names that share no block aren't found.
     Rows with a null id or name are clusters of their own, if they have an id.
     """
     rows = entities.where("id is not null").select("id", "type", T.normalize_name("name").alias("norm"))

@@ -138,7 +138,7 @@ def two_hops(spark, sf_dir):
     return M.two_hops(undirected(edge), nodes.where("type = 'LOCATION'"))
 
 
-@query(GRAPH + "SELECT id, type FROM entities n WHERE NOT coalesce(is_deleted, false) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = n.id OR e.dst = n.id)")
+@query(GRAPH + "SELECT id, type FROM entities WHERE NOT coalesce(is_deleted, false) AND id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)")
 def orphan_entities(spark, sf_dir):
     return M.orphans(*_graph(spark, sf_dir)).select("id", "type")
 
