@@ -15,6 +15,9 @@ from .common import save, tune
 #: Buckets of hashed words, domains at most (smaller ones share the last), and words after which evidence
 #: from a document doesn't grow: posteriors stay soft.
 BUCKETS, DOMAINS, EVIDENCE = 2048, 24, 20
+#: The classifier is fitted on so many labelled documents, picked by a hash of the id; on all of them if there are fewer.
+#: Their ids (under a megabyte) are broadcast, so that no text is shuffled; scoring and all sums cover every document.
+SAMPLE = 50_000
 #: Steps of the descent, of which so many run between written tables; the pull of rates towards one.
 STEPS, WRITTEN, PULL = 20, 5, 0.05
 OTHER = "other"
@@ -28,13 +31,20 @@ def _bucket(word):
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
+def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """doc_id of about `size` labelled documents, picked by a hash: each with the same chance, without sorting."""
+    ids = save(labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
+    n = ids.count()
+    return ids if n <= size else ids.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < size * (1 << 30) // n)
+
+
 def classifier(documents: DataFrame, labels: DataFrame, domain_col: str) -> tuple[list[str], DataFrame, list[float]]:
-    """Domains, log-probabilities (bucket, l0, l1, ...) of words, and the domains' log-priors, from labelled documents."""
+    """Domains, log-probabilities (bucket, l0, l1, ...) of words, and the domains' log-priors, from a bounded sample of labelled documents."""
     import math
 
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    known = labelled_sample(labels)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(domain_col).cast("string"), F.lit(OTHER)).alias("domain"), F.col("text").cast("string").alias("text"))
-    learn = own.join(known, "doc_id", "left_semi")
+    learn = own.join(F.broadcast(known), "doc_id", "left_semi")
     sizes = learn.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS - 1).collect()
     domains = [r["domain"] for r in sizes]
     if OTHER not in domains:
