@@ -98,3 +98,21 @@ def grounded_score(overlap: Column, relation: Column, temporal: Column, answer:
 
 def answer_class(score: Column) -> Column:
     return F.when(score > 0.8, "confident").when(score > 0.6, "probable").when(score > 0.4, "uncertain").otherwise("insufficient")
+
+
+# Parts of predicates that say little.
+GENERIC = ("relates_to", "related", "associated", "connected", "linked")
+
+
+def relation_weight(confidence: Column, n_chunks: Column, predicate: Column) -> Column:
+    """0.4 of the confidence, 0.3 of the naming chunks (ten suffice), and 0.1 to 0.25 by how much the predicate says."""
+    words = F.translate(F.lower(predicate), "_-", "  ")
+    generic = reduce(lambda a, b: a | b, (F.contains(words, F.lit(g)) for g in GENERIC))
+    says = F.when(generic, 0.1).when(F.length(predicate) > 3, 0.25).otherwise(0.15)
+    named = F.least(F.greatest(F.coalesce(n_chunks, F.lit(1)), F.lit(1)) / 10.0, F.lit(1.0))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence * 0.4 + named * 0.3 + says))
+
+
+def node_relevance(distance: Column, seed: bool = False) -> Column:
+    """By hops from the topic: falls from 1 by 0.2 in a traversal, from 0.9 by 0.15 around seeds; 0.3 at least."""
+    return F.greatest(F.lit(0.3), (0.9 - distance * 0.15) if seed else (1 - distance * 0.2))
