@@ -7,19 +7,25 @@ the domains meet their targets while rates stay near one.
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, tune
 
-#: Buckets of hashed words, domains at most (smaller ones share the last), and words after which evidence
-#: from a document doesn't grow: posteriors stay soft.
-BUCKETS, DOMAINS, EVIDENCE = 2048, 24, 20
-#: The classifier is fitted on so many labelled documents, picked by a hash of the id; on all of them if there are fewer.
-#: Their ids (under a megabyte) are broadcast, so that no text is shuffled; scoring and all sums cover every document.
-SAMPLE = 50_000
-#: Steps of the descent, of which so many run between written tables; the pull of rates towards one.
+#: Buckets of hashed words, and words after which evidence from a document doesn't grow: posteriors stay soft.
+BUCKETS, EVIDENCE = 2048, 20
+#: The classifier is fitted on so many labelled documents, and so many of each domain at least, picked by a hash of the id;
+#: on all of them if there are fewer. Their ids (under a megabyte, and 8 kB a domain) are broadcast, so that no text is
+#: shuffled; domains, priors, scoring and all sums cover every document.
+SAMPLE, EACH = 50_000, 1000
+#: Steps of rates(), of which so many run between written tables; its pull of rates towards one.
 STEPS, WRITTEN, PULL = 20, 5, 0.05
+#: balance() goes on until each domain's share is so near its target, relatively and absolutely; its pull, a domain's share
+#: being the unit; and after so many steps, or where targets are out of reach, it warns.
+NEAR, LEAST, SLIGHT, MANY = 1e-3, 1e-5, 1e-6, 1000
 OTHER = "other"
 
 
@@ -31,28 +37,29 @@ def _bucket(word):
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def labelled_sample(labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """doc_id of about `size` labelled documents, picked by a hash: each with the same chance, without sorting."""
-    ids = save(labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
-    n = ids.count()
-    return ids if n <= size else ids.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < size * (1 << 30) // n)
+def _total(columns: list):
+    """Their sum, as a balanced tree: hundreds of columns don't nest deeply."""
+    if len(columns) < 2:
+        return columns[0] if columns else F.lit(0.0)
+    half = len(columns) // 2
+    return _total(columns[:half]) + _total(columns[half:])
 
 
 def classifier(documents: DataFrame, labels: DataFrame, domain_col: str) -> tuple[list[str], DataFrame, list[float]]:
-    """Domains, log-probabilities (bucket, l0, l1, ...) of words, and the domains' log-priors, from a bounded sample of labelled documents."""
+    """All labelled domains, log-probabilities (bucket, l0, l1, ...) of words, and the domains' log-priors; words come from a bounded sample."""
     import math
 
-    known = labelled_sample(labels)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(domain_col).cast("string"), F.lit(OTHER)).alias("domain"), F.col("text").cast("string").alias("text"))
-    learn = own.join(F.broadcast(known), "doc_id", "left_semi")
-    sizes = learn.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS - 1).collect()
-    domains = [r["domain"] for r in sizes]
-    if OTHER not in domains:
-        domains.append(OTHER)
-    total = sum(r["count"] for r in sizes) + len(domains)
-    prior = {r["domain"]: r["count"] for r in sizes}
-    priors = [math.log((prior.get(d, 0) + 1) / total) for d in domains]
-    words = learn.select(F.when(F.col("domain").isin(domains), F.col("domain")).otherwise(OTHER).alias("domain"), F.explode(_tokens(F.col("text"))).alias("w"))
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    named = save(own.where("doc_id is not null").select("doc_id", "domain").join(ids, "doc_id", "left_semi"))
+    counted = save(named.groupBy("domain").agg(F.count("*").alias("n_domain")))
+    prior = {r["domain"]: r["n_domain"] for r in counted.orderBy(F.desc("n_domain"), "domain").collect()} or {OTHER: 0}
+    domains, n = list(prior), max(1, sum(prior.values()))
+    priors = [math.log((prior[d] + 1) / (n + len(domains))) for d in domains]
+    chance = F.greatest(F.lit(SAMPLE / n), F.lit(float(EACH)) / F.col("n_domain"))
+    known = named.join(F.broadcast(counted), "domain").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < chance * (1 << 30)).select("doc_id").distinct()
+    learn = own.join(F.broadcast(save(known)), "doc_id", "left_semi")
+    words = learn.select("domain", F.explode(_tokens(F.col("text"))).alias("w"))
     counts = save(words.groupBy("domain", _bucket(F.col("w")).alias("bucket")).count())
     every = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("count").alias("n")).collect()}
     base = documents.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
@@ -68,19 +75,21 @@ def posteriors(documents: DataFrame, labels: DataFrame, domain_col: str = "sourc
     """Domains, and doc_id, n_tokens, p0, p1, ... for every document that has an id."""
     domains, table, priors = classifier(documents, labels, domain_col)
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode_outer(_tokens(F.col("text").cast("string"))).alias("w"))
-    # BUCKETS rows of DOMAINS numbers at most: half a megabyte, whatever the corpus.
+    # BUCKETS rows of a number for each domain: 16 kB a domain, whatever the corpus.
     words = docs.select("doc_id", _bucket(F.coalesce("w", F.lit(""))).alias("bucket"), F.col("w").isNotNull().cast("long").alias("one")).join(F.broadcast(table), "bucket")
     sums = words.groupBy("doc_id").agg(F.sum("one").alias("n_tokens"), *(F.sum(F.col(f"l{i}") * F.col("one")).alias(f"s{i}") for i in range(len(domains))))
     soft = F.least(F.lit(1.0), F.lit(float(EVIDENCE)) / F.greatest(F.col("n_tokens"), F.lit(1)))
     scores = sums.select("doc_id", "n_tokens", *(((F.col(f"s{i}") * soft) + priors[i]).alias(f"s{i}") for i in range(len(domains))))
     top = F.greatest(*(F.col(f"s{i}") for i in range(len(domains)))) if len(domains) > 1 else F.col("s0")
     shifted = scores.select("doc_id", "n_tokens", *(F.exp(F.col(f"s{i}") - top).alias(f"e{i}") for i in range(len(domains))))
-    whole = sum((F.col(f"e{i}") for i in range(len(domains))), F.lit(0.0))
+    whole = _total([F.col(f"e{i}") for i in range(len(domains))])
     return domains, save(shifted.select("doc_id", "n_tokens", *((F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(len(domains)))))
 
 
 def rates(table: DataFrame, k: int, targets: list[float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, rate: distributed projected gradient over (doc_id, n_tokens, p0, ...).
+    """doc_id, n_tokens, rate: so many steps of distributed projected gradient over (doc_id, n_tokens, p0, ...), whatever the error.
+
+    mix() takes balance(), which goes on until the targets are met.
 
     Minimised is half the squared distance of the domains' shares of expected tokens from the targets, and
     PULL / 2 times the mean, over tokens, of (rate - 1) squared. Each step is one aggregation to k sums; the
@@ -105,20 +114,96 @@ def rates(table: DataFrame, k: int, targets: list[float] | None = None) -> DataF
     return state.select("doc_id", "n_tokens", "rate")
 
 
+def solve(sums, k: int, targets: list[float] | None = None) -> np.ndarray:
+    """The k pulls of the domains: a document's rate is one plus its posteriors' product with them, and not below zero.
+
+    sums(pulls) gives tokens, tokens times squared rates, and the k domains' expected tokens. Of all rates that meet the
+    targets these are the nearest to one (the dual of that problem). The gradient of a pull is the domain's error; the first step is
+    scaled by the domain's own share, later ones by what the errors' changes tell of the curvature (BFGS). Errors
+    below NEAR of a target plus LEAST end it; targets out of reach end near the closest reachable ones, with a warning.
+    """
+    pulls = np.zeros(k)
+    n, square, got = sums(pulls)
+    if not n:
+        return pulls
+    share = np.array(got, float) / n
+    if targets is None:  # a flattened mixture: shares to the power 0.7
+        targets = share**0.7 / (share**0.7).sum()
+    aim = np.array(targets, float)
+    unit = np.maximum(share, 1e-12)
+    near = NEAR * aim + LEAST
+
+    def value(square, have, pulls):
+        return square / n / 2 - aim @ pulls + SLIGHT / 2 * (unit * pulls) @ pulls, have - aim + SLIGHT * unit * pulls
+
+    have = share
+    height, slope = value(square, have, pulls)
+    scale = np.diag(1 / unit)
+    for _ in range(MANY):
+        if (np.abs(have - aim) <= near).all() or (np.abs(slope) <= near / 10).all():
+            break
+        move = -scale @ slope
+        if slope @ move >= 0:
+            scale = np.diag(1 / unit)
+            move = -scale @ slope
+        length = 1.0
+        while True:
+            there = pulls + length * move
+            _, square, got = sums(there)
+            new = np.array(got, float) / n
+            new_height, new_slope = value(square, new, there)
+            if new_height <= height + 1e-4 * length * (slope @ move) + 1e-13 or length < 1e-9:
+                break
+            length /= 2
+        went, bent = there - pulls, new_slope - slope
+        pulls, have, height, slope = there, new, new_height, new_slope
+        if went @ bent > 0:
+            turn = np.eye(k) - np.outer(went, bent) / (went @ bent)
+            scale = turn @ scale @ turn.T + np.outer(went, went) / (went @ bent)
+    if (np.abs(have - aim) > near).any():
+        worst = int(np.argmax(np.abs(have - aim) / near))
+        warnings.warn(f"mixing: targets out of reach of the posteriors; domain {worst} has {have[worst]:.6f} of the tokens, not {aim[worst]:.6f}", stacklevel=2)
+    return pulls
+
+
+def balance(table: DataFrame, k: int, targets: list[float] | None = None) -> DataFrame:
+    """doc_id, n_tokens, rate: the rates nearest to one at which the domains' shares of expected tokens meet the targets.
+
+    Over (doc_id, n_tokens, p0, ...); each step is one aggregation to k + 2 sums, and nothing is written between steps.
+    """
+
+    def rate(pulls):
+        return F.greatest(F.lit(0.0), 1.0 + _total([F.col(f"p{i}") * float(pulls[i]) for i in range(k)]))
+
+    def sums(pulls):
+        rows = table.withColumn("rate", rate(pulls)).withColumn("tokens", F.col("rate") * F.col("n_tokens"))
+        columns = [F.col("n_tokens"), F.col("tokens") * F.col("rate"), *(F.col("tokens") * F.col(f"p{i}") for i in range(k))]
+        row = rows.agg(*(F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(f"s{j}") for j, c in enumerate(columns))).first()
+        return row[0], row[1], list(row)[2:]
+
+    return table.select("doc_id", "n_tokens", rate(solve(sums, k, targets)).alias("rate"))
+
+
 def mix(documents: DataFrame, labels: DataFrame, domain_col: str = "source", weights: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
     """doc_id, n_tokens, rate, copies of every document that has an id.
 
-    weights give the domains' target shares (those not named have 0); without them, the corpus's own shares
-    to the power 0.7 are the targets. copies is the rate, rounded up or down by a hash of the id so that it
-    holds on average. Null domains count as "other", as do all but the largest labelled ones. Null and empty texts
+    weights give the domains' target shares (those not named have 0; one of no labelled domain is an error); without
+    them, the corpus's own shares to the power 0.7 are the targets. copies is the rate, rounded up or down by a hash of
+    the id so that it holds on average. Null domains count as "other". Null and empty texts
     have no tokens and the posterior of the priors; repeated ids count as one document. Without labelled documents
     there is one domain and all rates are one. Other columns are ignored. An empty table gives an empty result.
     """
     tune(documents.sparkSession)
     domains, table = posteriors(documents, labels, domain_col)
-    whole = sum(weights.values()) if weights else 0
-    targets = [weights.get(d, 0.0) / whole for d in domains] if whole else None
-    out = rates(table, len(domains), targets)
+    targets = None
+    if weights:
+        whole = sum(weights.values())
+        if unknown := sorted(set(weights) - set(domains)):
+            raise ValueError(f"weights of domains without labelled documents: {unknown}")
+        if min(weights.values()) < 0 or not whole > 0:
+            raise ValueError("weights must not be negative, and one must be positive")
+        targets = [weights.get(d, 0.0) / whole for d in domains]
+    out = balance(table, len(domains), targets)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     base = F.floor("rate")
     return out.select("doc_id", "n_tokens", "rate", (base + (chance < F.col("rate") - base).cast("long")).cast("int").alias("copies"))

@@ -281,6 +281,37 @@ def test_mixing_meets_targets(spark):
     assert mixed.columns == docs.columns and mixed.count() == out.copies.sum()
 
 
+def test_mixing_meets_skewed_targets(spark):
+    rng = random.Random(5)
+    vocabulary = {"a": [f"a{i}" for i in range(30)], "b": [f"b{i}" for i in range(30)], "c": [f"c{i}" for i in range(30)]}
+    sources = ["b" if i % 50 == 1 else "c" if i % 100 == 2 else "a" for i in range(600)]  # .97, .02, .01
+    docs = _docs(spark, [" ".join(rng.choice(vocabulary[s]) for _ in range(40)) for s in sources], lambda i: sources[i])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    for weights in ({"a": 1, "b": 1, "c": 1}, {"a": 0.8, "b": 0.1, "c": 0.1}, {"c": 1}):
+        domains, table = mixing.posteriors(docs, labels)
+        aim = [weights.get(d, 0) / sum(weights.values()) for d in domains]
+        out = mixing.balance(table, len(domains), aim).toPandas().merge(table.drop("n_tokens").toPandas(), on="doc_id")
+        tokens = out.rate * out.n_tokens
+        assert (out.rate >= 0).all() and [(tokens * out[f"p{i}"]).sum() / out.n_tokens.sum() for i in range(len(domains))] == pytest.approx(aim, rel=2e-3, abs=2e-5)
+        by = (out := mixing.mix(docs, labels, weights=weights).toPandas()).assign(t=out.rate * out.n_tokens).groupby(out.doc_id.map(sources.__getitem__)).t.sum()
+        assert [by[d] / by.sum() for d in domains] == pytest.approx(aim, abs=0.01)
+
+
+def test_mixing_keeps_every_labelled_domain(spark, monkeypatch):
+    texts = [" ".join(f"s{i % 30}x{j}" for j in range(30)) for i in range(90)]
+    docs = _docs(spark, texts, lambda i: f"src{i % 30}")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(mixing, "SAMPLE", 10)
+    domains, _ = mixing.posteriors(docs, labels)
+    assert sorted(domains) == sorted(f"src{i}" for i in range(30))
+    out = mixing.mix(docs, labels, weights={f"src{i}": 10 if i == 29 else 1 for i in range(30)}).toPandas()
+    tokens = out.rate * out.n_tokens
+    assert tokens[out.doc_id % 30 == 29].sum() / tokens.sum() == pytest.approx(10 / 39, abs=0.01)
+    for weights in ({"nowhere": 1.0}, {"src0": 1.0, "other": 1.0}, {"src0": -1.0}, {"src0": 0.0}):
+        with pytest.raises(ValueError):
+            mixing.mix(docs, labels, weights=weights)
+
+
 def _operators(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
