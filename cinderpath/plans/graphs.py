@@ -19,6 +19,7 @@ _SMALL = "both_small AS (SELECT DISTINCT a, b FROM both_ways WHERE rel_type <> '
 
 
 def _places(spark, sf_dir):
+    """The graph of places alone, as the SQL of reach_within and connected_components has it; whole_graph_* take all edges."""
     return undirected(edges(spark, sf_dir).where("rel_type <> 'PRODUCES'"))
 
 
@@ -41,7 +42,7 @@ def reach_within(spark, sf_dir):
 )
 def shortest_path_lengths(spark, sf_dir):
     targets = entities(spark, sf_dir).where("id like 'S:%'").select("id")
-    return G.shortest_paths(_places(spark, sf_dir), _regions(spark, sf_dir), targets, 3).select("start", "end", "length")
+    return G.shortest_paths(undirected(edges(spark, sf_dir)), _regions(spark, sf_dir), targets, 3).select("start", "end", "length")
 
 
 @query(
@@ -51,7 +52,7 @@ def shortest_path_lengths(spark, sf_dir):
 )
 def simple_paths_to_suppliers(spark, sf_dir):
     targets = entities(spark, sf_dir).where("id like 'S:%'").select("id")
-    return G.simple_paths(_places(spark, sf_dir), _regions(spark, sf_dir), targets, 2).select("start", "end", F.array_join("path", ">").alias("path"))
+    return G.simple_paths(undirected(edges(spark, sf_dir)), _regions(spark, sf_dir), targets, 2).select("start", "end", F.array_join("path", ">").alias("path"))
 
 
 @query(
@@ -61,7 +62,7 @@ def simple_paths_to_suppliers(spark, sf_dir):
 )
 def bridge_nodes(spark, sf_dir):
     targets = entities(spark, sf_dir).where("id like 'S:%'").select("id")
-    return G.bridges(G.simple_paths(_places(spark, sf_dir), _regions(spark, sf_dir), targets, 2))
+    return G.bridges(G.simple_paths(undirected(edges(spark, sf_dir)), _regions(spark, sf_dir), targets, 2))
 
 
 @query(
@@ -73,6 +74,19 @@ def connected_components(spark, sf_dir):
     return G.components(_places(spark, sf_dir), entities(spark, sf_dir).select("id"))
 
 
+# Over all edges, products too; without SQL, as recursion over them is slow. Tests compare with a search in memory.
+
+
+@query()
+def whole_graph_components(spark, sf_dir):
+    return G.components(undirected(edges(spark, sf_dir)), entities(spark, sf_dir).select("id"))
+
+
+@query()
+def whole_graph_reach(spark, sf_dir):
+    return G.reach(undirected(edges(spark, sf_dir)), _regions(spark, sf_dir), 3)
+
+
 @query(
     "WITH RECURSIVE p AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS parent FROM part), r AS (SELECT id, parent AS ancestor, 1 AS distance FROM p WHERE parent IS NOT NULL "
     "UNION ALL SELECT r.id, p.parent, distance + 1 FROM r JOIN p ON p.id = r.ancestor WHERE p.parent IS NOT NULL AND distance < 12) SELECT id, ancestor, CAST(min(distance) AS INT) AS distance FROM r GROUP BY id, ancestor"

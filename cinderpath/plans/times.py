@@ -9,7 +9,7 @@ from ..functions import temporal as T
 from ..operators import graph as G
 from ..session import table
 from .graphs import _SMALL, _places, _regions
-from .model import GRAPH, edges
+from .model import GRAPH, edges, undirected
 from .registry import query
 
 #: A sentence an order; Spark and DuckDB differ in the formats of dates alone.
@@ -83,3 +83,11 @@ def relevance_by_distance(spark, sf_dir):
     near = G.reach(_places(spark, sf_dir), _regions(spark, sf_dir), 3)
     d = F.col("distance")
     return near.select("start", "node", F.round(E.node_relevance(d), 6).alias("relevance"), F.round(E.node_relevance(d, seed=True), 6).alias("seed_relevance"))
+
+
+@query()
+def whole_graph_relevance(spark, sf_dir):
+    """relevance_by_distance over all edges, products too."""
+    near = G.reach(undirected(edges(spark, sf_dir)), _regions(spark, sf_dir), 3)
+    d = F.col("distance")
+    return near.select("start", "node", F.round(E.node_relevance(d), 6).alias("relevance"), F.round(E.node_relevance(d, seed=True), 6).alias("seed_relevance"))
