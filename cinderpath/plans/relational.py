@@ -176,6 +176,12 @@ def community_members(spark, sf_dir):
     return rows.groupBy(F.col("dst").alias("community")).agg(F.count("*").alias("n_members"), F.array_join(F.array_sort(F.collect_list("src")), ",").alias("members"))
 
 
+@query(GRAPH + "SELECT dst AS community, src AS member FROM edges WHERE rel_type = 'LOCATED_IN'")
+def all_community_members(spark, sf_dir):
+    """A row for each member of each place, of every kind; community_members lists suppliers alone."""
+    return edges(spark, sf_dir).where("rel_type = 'LOCATED_IN'").select(F.col("dst").alias("community"), F.col("src").alias("member"))
+
+
 @query(
     "SELECT l.l_orderkey AS order_id, l.l_suppkey AS supplier, s.s_nationkey AS nation, count(*) AS n FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey "
     "JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderpriority = '1-URGENT' GROUP BY ALL"
@@ -265,6 +271,13 @@ def distinct_names(spark, sf_dir):
     return names.union(table(spark, sf_dir, "supplier").select("s_name")).union(table(spark, sf_dir, "part").select("p_name")).distinct()
 
 
+@query("SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part")
+def all_distinct_names(spark, sf_dir):
+    """Names of all customers, suppliers and parts; distinct_names has customers of small ids alone."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    return names.union(table(spark, sf_dir, "supplier").select("s_name")).union(table(spark, sf_dir, "part").select("p_name")).distinct()
+
+
 @query(
     "WITH s AS (SELECT o_custkey AS c, list_distinct(list(o_orderpriority)) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), "
     "t AS (SELECT o_custkey AS c, list_distinct(list(o_orderpriority)) AS b FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) "
