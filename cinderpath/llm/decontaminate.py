@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,8 +43,37 @@ def benchmark_windows(benchmark: DataFrame, n: int, id_col: str = "item_id", tex
     return source.mapInArrow(run, "item_id long, length int, hash long, gram binary")
 
 
-def _scan(documents: DataFrame, windows: DataFrame) -> DataFrame:
-    """doc_id, n_words, merged word spans that windows cover, items whose windows occur, text without those words."""
+def _cut(documents: DataFrame) -> DataFrame:
+    """doc_id, n_words, spans, items, clean_text: the text without the words of its spans."""
+
+    def run(batches):
+        for batch in batches:
+            n_words, texts = [], []
+            spans = batch.column(2).to_pylist()
+            for i, _, data, offsets in text_blocks(batch.column(1)):
+                _, start, end, first = words(data, offsets, ALNUM)
+                raw = data.tobytes()
+                for row in range(len(first) - 1):
+                    a = int(first[row])
+                    n_words.append(int(first[row + 1]) - a)
+                    text, last = [], int(offsets[row])
+                    for s in spans[i + row]:
+                        text.append(raw[last : start[a + s["start"]]])
+                        last = int(end[a + s["end"] - 1])
+                    texts.append(b"".join([*text, raw[last : offsets[row + 1]]]).decode())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_words, pa.int64()), batch.column(2), batch.column(3), pa.array(texts, pa.string())],
+                ["doc_id", "n_words", "spans", "items", "clean_text"],
+            )
+
+    return documents.mapInArrow(run, "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<long>, clean_text string")
+
+
+def _scan(documents: DataFrame, windows: DataFrame, cut: bool = True) -> DataFrame:
+    """doc_id, n_words, merged word spans that windows cover, items whose windows occur, text without those words.
+
+    Without cut, clean_text is the SHA-256 of the text.
+    """
     spark = documents.sparkSession
     held = windows.toArrow()
     lengths = {}
@@ -86,6 +117,9 @@ def _scan(documents: DataFrame, windows: DataFrame) -> DataFrame:
                     items.append(sorted(found.get(row, ())))
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
                     spans.append([{"start": int(x), "end": int(y)} for x, y in edges.reshape(-1, 2)])
+                    if not cut:
+                        texts.append(hashlib.sha256(raw[offsets[row] : offsets[row + 1]]).hexdigest())
+                        continue
                     text, last = [], int(offsets[row])
                     for x, y in edges.reshape(-1, 2):
                         text.append(raw[last : start[a + x]])
@@ -117,10 +151,10 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case. The windows
     of the benchmark go to the executors as one broadcast set; more than block_windows of them are split by
     their hash into blocks of about that size, each scanned against all documents, and each document's
-    findings are merged (clean_text is then null). Hits are verified against the words themselves.
+    findings are merged before its words are cut. Hits are verified against the words themselves.
 
     Null or empty texts have no words, spans or items. An empty benchmark hits nothing; repeated items all
-    count. Items of under min_words words are left out. A repeated doc_id gives a row each (in blocks: one).
+    count. Items of under min_words words are left out. A repeated doc_id gives a row each.
     """
     spark = tune(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -130,10 +164,15 @@ def scan(documents: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str =
         return _scan(docs, windows)
     out = None
     for i in range(blocks):
-        part = _scan(docs, windows.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == i)).drop("clean_text")
+        part = _scan(docs, windows.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == i), cut=False).where(F.size("spans") > 0)
+        part = part.select("doc_id", "clean_text", "spans", "items")
         out = save(part) if out is None else out.unionByName(save(part))
-    merged = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return merged.select("doc_id", "n_words", _merge("spans").alias("spans"), "items", F.lit(None).cast("string").alias("clean_text"))
+    # Rows that repeat an id may have different texts: findings belong to the id and a hash of the text.
+    merged = out.groupBy("doc_id", F.col("clean_text").alias("mark")).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = merged.select(F.col("doc_id").alias("found_id"), "mark", _merge("spans").alias("spans"), "items")
+    rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("found_id")) & (F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col("mark")), "left")
+    kinds = "array<struct<start:int,end:int>>"
+    return _cut(rows.select("doc_id", "text", F.coalesce("spans", F.array().cast(kinds)).alias("spans"), F.coalesce("items", F.array().cast("array<long>")).alias("items")))
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -160,6 +160,16 @@ def test_decontamination_equals_brute_force(spark):
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()} == want
 
 
+def test_decontamination_in_blocks_cuts_the_same(spark):
+    texts = [*_texts(4), "ü w1, W2 é w3"]
+    docs = _docs(spark, texts)
+    docs = docs.union(docs.where("doc_id < 9")).union(docs.where("doc_id = 3").selectExpr("5L", "text", "lang", "source", "n_chars")).union(docs.where("doc_id in (0, 3)").selectExpr("cast(null as long)", "text", "lang", "source", "n_chars"))
+    bench = spark.createDataFrame([(0, texts[3][:120]), (1, "w2 w3"), (2, texts[0]), (3, "w1 w2")], "item_id long, text string")
+    rows = lambda **more: sorted((r.doc_id is None, r.doc_id or 0, r.n_words, str(r.spans), str(r["items"]), r.clean_text) for r in decontaminate.scan(docs, bench, **more).collect())
+    whole = rows()
+    assert rows(block_windows=20) == whole and len(whole) == docs.count() and any(w[3] != "[]" for w in whole)
+
+
 def test_suffix_arrays_are_sorted_suffixes():
     rng = np.random.default_rng(1)
     for n, letters in [(0, 2), (1, 1), (2, 1), (30, 1), (60, 2), (200, 3), (300, 30)]:
