@@ -9,30 +9,48 @@ from ..functions import text as T
 from .graph import components, cut
 
 
-def _blocks(names: DataFrame) -> DataFrame:
-    """type, norm, block: the first three letters with two bands of length, and the sorted words' first letters."""
-    initials = F.array_join(F.array_sort(F.transform(F.split("norm", " "), lambda w: F.substring(w, 1, 2))), "")
-    return names.select("type", "norm", F.explode(F.array_distinct(F.array(F.concat(F.lit("p:"), F.substring("norm", 1, 3), F.lit(":"), F.floor(F.length("norm") / 4)), F.concat(F.lit("p:"), F.substring("norm", 1, 3), F.lit(":"), F.floor(F.length("norm") / 4) + 1), F.concat(F.lit("i:"), initials)))).alias("block"))
+#: Names a key that one task compares with another's; those of a larger key are dealt out by a hash.
+CROWD = 1000
 
 
-def resolve(entities: DataFrame, least: float = 0.85, hub_block: int = 1000) -> DataFrame:
+def _pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """type, x, y: different names of a type, among them every pair whose edit similarity is `least` or more.
+
+    Such names are at most d = (1 - least) * l edits apart, l being the longer one's length. Cut in d + 1 segments, the
+    longer one has a segment that the other has too, at most d places away (pigeonhole): that is the joins' key.
+    """
+    edits = lambda l: F.floor((1.0 - least) * l + 1e-9).cast("int")
+    begin = lambda l, j: F.floor(j * l / (edits(l) + 1)).cast("int")
+    part = lambda s, at, n: s.substr(at + 1, n)
+    rows = nodes.select("type", "norm", F.length("norm").alias("n")).where("n > 0")
+    own = rows.select("type", F.col("norm").alias("x"), F.col("n").alias("l"), F.explode(F.sequence(F.lit(0), edits(F.col("n")))).alias("j"))
+    own = own.select("type", "x", "l", "j", part(F.col("x"), begin(F.col("l"), F.col("j")), begin(F.col("l"), F.col("j") + 1) - begin(F.col("l"), F.col("j"))).alias("key"))
+    longest = F.ceil(F.col("n") / F.lit(least)).cast("int")
+    other = rows.select("type", F.col("norm").alias("y"), "n", F.explode(F.sequence(F.col("n"), longest)).alias("l")).where(F.col("l") - F.col("n") <= edits(F.col("l")))
+    other = other.select("*", F.explode(F.sequence(F.lit(0), edits(F.col("l")))).alias("j"))
+    other = other.select("*", begin(F.col("l"), F.col("j")).alias("at"), begin(F.col("l"), F.col("j") + 1).alias("end"))
+    other = other.select("*", F.explode(F.sequence(-edits(F.col("l")), edits(F.col("l")))).alias("by"))
+    other = other.where("at + by >= 0 and end + by <= n").select("type", "y", "l", "j", part(F.col("y"), F.col("at") + F.col("by"), F.col("end") - F.col("at")).alias("key")).distinct()
+    keys = ["type", "l", "j", "key"]
+    own = cut(own)
+    crowded = F.broadcast(own.groupBy(keys).agg(F.ceil(F.count("*") / CROWD).cast("int").alias("salts")).where("salts > 1"))
+    salts = F.coalesce("salts", F.lit(1))
+    own = own.join(crowded, keys, "left").select(*keys, "x", F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"))
+    other = other.join(crowded, keys, "left").select(*keys, "y", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    found = own.join(other, [*keys, "salt"]).where("length(y) < l or x < y")
+    return found.where(T.edit_similarity("x", "y") >= least).select("type", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def resolve(entities: DataFrame, least: float = 0.85) -> DataFrame:
     """id, cluster (the least id of a cluster) of entities (id, type, name).
 
-    Equal normalised names of a type are one node, so copies never pair up. Different names that share a block are
-    compared; a block of more than hub_block names is split by the names' first twelve letters. Links are edit
-    similarity of `least` or more; similar names that share no block aren't found.
+    Equal normalised names of a type are one node, so copies never pair up. Links are all pairs of different names with
+    edit similarity of `least` or more.
     Rows with a null id or name are clusters of their own, if they have an id.
     """
     rows = entities.where("id is not null").select("id", "type", T.normalize_name("name").alias("norm"))
     nodes = cut(rows.where("norm is not null").groupBy("type", "norm").agg(F.min("id").alias("rep")))
-    keyed = _blocks(nodes)
-    sizes = keyed.groupBy("type", "block").agg(F.count("*").alias("n"))
-    # A large block is split by longer prefixes until its parts are small enough to compare whole.
-    keyed = keyed.join(sizes, ["type", "block"]).withColumn("block", F.when(F.col("n") > hub_block, F.concat("block", F.lit("/"), F.substring("norm", 1, 12))).otherwise(F.col("block")))
-    a = keyed.select("type", "block", F.col("norm").alias("x"))
-    b = keyed.select("type", "block", F.col("norm").alias("y"))
-    pairs = a.join(b, ["type", "block"]).where("x < y").select("type", "x", "y").distinct()
-    links = pairs.where(T.edit_similarity("x", "y") >= least)
+    links = _pairs(nodes, least)
     ids = nodes.select("type", "norm", "rep")
     edges = links.join(ids.select("type", F.col("norm").alias("x"), F.col("rep").alias("a")), ["type", "x"]).join(ids.select("type", F.col("norm").alias("y"), F.col("rep").alias("b")), ["type", "y"]).select("a", "b")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -83,6 +83,27 @@ def test_resolution(spark):
     assert got == {"1": "1", "2": "1", "3": "1", "4": "4", "5": "5", "6": "6"}
 
 
+@pytest.mark.parametrize("crowd", [1, 1000])
+def test_resolution_finds_all_similar_pairs(spark, monkeypatch, crowd):
+    import random
+
+    monkeypatch.setattr(resolve, "CROWD", crowd)
+    rng = random.Random(2)
+    names = [f"customer#{i:09}" for i in range(0, 400, 9)] + ["acme corp intl", "acme corp. intl", "xcme corp intl"]
+    for base in [*names[:12], "a", "abcdefg", "northern light trading company of bergen"]:
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randrange(1, 7)):
+                at = rng.randrange(len(w) + 1)
+                w[at : at + rng.randrange(2)] = rng.choice(["", "q", "z"])
+            names.append("".join(w))
+    nodes = spark.createDataFrame([("ORG", n) for n in sorted({n for n in names if n})], "type string, norm string")
+    x, y = nodes.select("type", F.col("norm").alias("x")), nodes.select("type", F.col("norm").alias("y"))
+    want = {(r.x, r.y) for r in x.join(y, "type").where("x < y").where(T.edit_similarity("x", "y") >= 0.85).collect()}
+    got = [(r.x, r.y) for r in resolve._pairs(nodes, 0.85).collect()]
+    assert set(got) == want and len(got) == len(want) and ("acme corp intl", "acme corp. intl") in want
+
+
 def test_vector_search_blocks(spark, monkeypatch):
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
