@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, text_blocks, tune
+from .common import scratch, tune
 
 #: Dictionary encoding for ids; delta encoding (of the second version's writer) for the ascending columns.
 #: Row groups of 32 MB and pages of 64 KB, 1,000 rows at most, each in the column and offset indexes.
@@ -20,44 +23,55 @@ WRITER = {
     "parquet.page.size": str(64 << 10),
     "parquet.page.row.count.limit": "1000",
     "parquet.enable.dictionary": "true",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Distinct white-space separated chunks that a worker remembers, and distinct pieces of chunks.
-CHUNKS, PIECES = 150_000, 300_000
-_TAIL = b".,;:!?%&*#$()"
+#: Distinct words and other chunks that a worker remembers, and bytes of text that are split at a time.
+PIECES, SPLIT_BYTES = 300_000, 8 << 20
+#: ASCII punctuation that is a word of its own after letters; an apostrophe isn't.
+_TAIL = ".,;:!?%&*#$()"
+
+
+def _is_letters(word: str) -> bool:
+    """Whether the tokenizer's normalizing steps leave nothing but letters of a word."""
+    return "\u03a3" not in word and unicodedata.normalize("NFC", word).lower().isalpha()
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk between ASCII white space, which no token spans, and remembers chunks.
+    """Encodes texts chunk by chunk between ASCII white space, which no token spans, and each different chunk once a call.
 
-    A chunk of letters and then ASCII punctuation is two words to the tokenizer, so its letters and its
-    punctuation are pieces that are encoded, and remembered, apart; any other chunk is a piece. New pieces of
-    letters are encoded many at a time, as one text, and told apart by the ends of words that the vocabulary
-    marks; should their number differ, one by one.
+    A chunk of letters and then ASCII punctuation is two words to the tokenizer: its letters, in lower case, and its
+    punctuation are pieces that are encoded apart; any other chunk is a piece as it stands. Which pieces a chunk has
+    depends on the chunk alone. Pieces are remembered between calls. New pieces of letters are encoded many at a time by
+    the same model without the tokenizer's normalizing and splitting, which are done already, and told apart by the ends
+    of words that the vocabulary marks.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, end_id: int):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.ascii, self.letters = (Tokenizer.from_file(path) for _ in range(3))
+        self.end_id = end_id
+        self.letters.normalizer = self.ascii.normalizer = None
+        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.pieces: dict[bytes, int] = {b"": 0}
+        self.pieces: dict[str, int] = {"": 0}
         self.ids = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)  # where each piece's ids begin; they end where the next one's do
         self.used = 0
-        self.clear_chunks()
-
-    def clear_chunks(self) -> None:
-        self.chunks: dict[bytes, int] = {}
-        self.parts = np.zeros((1 << 16, 2), np.int32)
 
-    def add(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.pieces)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -68,83 +82,93 @@ class ChunkEncoder:
         self.used += len(ids)
         self.pieces.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
-    def encode(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
-
-    def learn_pieces(self, pieces: list[bytes], letters: bool) -> None:
+    def learn(self, pieces: list[str], letters=None) -> None:
+        """Remember new pieces; those of letters come with the tokenizer for them."""
         for i in range(0, len(pieces), 512):
             part = pieces[i : i + 512]
-            if letters:
-                ids = np.array(self.encode([b" ".join(part)])[0], np.int32)
+            if letters is not None:
+                ids = np.array(letters.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
                 ends = np.flatnonzero(self.ends[ids]) + 1
                 if len(ends) == len(part):
                     self.add(part, ids, np.diff(ends, prepend=0))
                     continue
-            each = self.encode(part)
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
             self.add(part, np.fromiter((i for e in each for i in e), np.int32, int(sizes.sum())), sizes)
 
-    def learn(self, chunks: list[bytes]) -> None:
-        pairs, letters, other = [], set(), set()
+    def numbers(self, pieces: list[str], letters=None) -> np.ndarray:
+        """The numbers of pieces, known or new."""
         known = self.pieces
-        for c in chunks:
-            word = c.rstrip(_TAIL)
-            if word in known:
-                pair = (word, c[len(word) :])
-            elif word.decode().isalpha():
-                letters.add(word)
-                pair = (word, c[len(word) :])
-            else:
-                pair = (c, b"")
-                other.add(c)
-            if pair[1] and pair[1] not in known:
-                other.add(pair[1])
-            pairs += pair
-        self.learn_pieces(sorted(letters), True)
-        self.learn_pieces(sorted(other.difference(known)), False)
-        n = len(self.chunks)
-        while n + len(chunks) > len(self.parts):
-            self.parts = np.concatenate([self.parts, np.zeros_like(self.parts)])
-        self.parts[n : n + len(chunks)] = np.fromiter(map(known.__getitem__, pairs), np.int32, len(pairs)).reshape(-1, 2)
-        self.chunks.update(zip(chunks, range(n, n + len(chunks)), strict=True))
-
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and how many each has."""
+        self.learn(list({p for p in pieces if p not in known}), letters)
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def lists(self, chunks: pa.Array) -> pa.ListArray:
+        """The ids of each of some different chunks, and last the end id alone."""
+        words = pc.ascii_rtrim(chunks, _TAIL)
+        plain = pc.or_(pc.ascii_is_alpha(words), pc.equal(words, "")).to_numpy(zero_copy_only=False)
+        pieces = np.zeros((len(chunks), 2), np.int64)
+        lower = pc.ascii_lower(words.filter(pa.array(plain))).dictionary_encode()
+        pieces[plain, 0] = self.numbers(_strings(lower.dictionary), self.ascii)[lower.indices.to_numpy()]
+        other = np.flatnonzero(~plain)
+        found = words.take(pa.array(other)).dictionary_encode()
+        names = [unicodedata.normalize("NFC", w).lower() if _is_letters(w) else "" for w in _strings(found.dictionary)]
+        number = self.numbers(names, self.letters)[found.indices.to_numpy()]
+        pieces[other, 0] = number
+        whole = other[number == 0]
+        pieces[whole, 0] = self.numbers(_strings(chunks.take(pa.array(whole))))
+        length = pc.utf8_length(words).to_numpy()
+        tailed = length < pc.utf8_length(chunks).to_numpy()
+        tailed[whole] = False
+        more = np.flatnonzero(tailed)
+        pieces[more, 1] = self.numbers([c[n:] for c, n in zip(_strings(chunks.take(pa.array(more))), length[more].tolist(), strict=True)])
+        start, size = self.at[pieces], self.at[pieces + 1] - self.at[pieces]
+        ends = np.cumsum(size.ravel())
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.arange(total) + np.repeat(start.ravel() - (ends - size.ravel()), size.ravel())]
+        bounds = np.concatenate([[0], ends[1::2], [total + 1]])
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.append(ids, np.int32(self.end_id))))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other and each with the end id, and how many each has."""
         if len(self.pieces) > PIECES:
             self.clear()
-        chunks = [t.split() for t in texts]
-        flat = [c for row in chunks for c in row]
-        if len(self.chunks) > CHUNKS:
-            self.clear_chunks()
-        self.learn(list(set(flat).difference(self.chunks)))
-        which = self.parts[np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))].reshape(-1)
-        start, size = self.at[which], self.at[which + 1] - self.at[which]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(start - (ends - size), size)]
-        bound = np.concatenate([[0], ends])[2 * np.concatenate([[0], np.cumsum([len(row) for row in chunks])]).astype(np.int64)]
-        return ids, np.diff(bound)
+        chunks = pc.ascii_split_whitespace(texts)
+        found = chunks.flatten().dictionary_encode()
+        at = chunks.offsets.to_numpy().astype(np.int64)
+        last = at[1:] - at[0] + np.arange(len(texts))
+        which, inner = np.full(len(found) + len(texts), len(found.dictionary), np.int32), np.ones(len(found) + len(texts), bool)
+        inner[last] = False
+        which[inner] = found.indices.to_numpy()
+        out = self.lists(found.dictionary).take(pa.array(which))
+        return out.values.to_numpy(), np.diff(out.offsets.to_numpy()[np.append(0, last + 1)])
+
+
+def _runs(column: pa.Array) -> Iterator[pa.Array]:
+    """The texts, null as empty, in runs of about SPLIT_BYTES; one longer text is a run of its own."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    ends = np.cumsum(pc.binary_length(column).to_numpy())
+    i = 0
+    while i < len(column):
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + SPLIT_BYTES, "right")))
+        yield column.slice(i, j - i)
+        i = j
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[tuple[str, int], ChunkEncoder] = {}
 
 
 def tokenize(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens, tokens for (doc_id, text); the end id closes each document. Null counts as empty."""
 
     def run(batches):
-        encoder = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, ChunkEncoder(tokenizer))
+        encoder = _ENCODERS.get((tokenizer, end_id)) or _ENCODERS.setdefault((tokenizer, end_id), ChunkEncoder(tokenizer, end_id))
         for batch in batches:
-            parts, counts = [], []
-            for i, j, data, offsets in text_blocks(batch.column(1)):
-                raw = data.tobytes()
-                ids, n = encoder([raw[offsets[r] : offsets[r + 1]] for r in range(j - i)])
-                parts.append(np.insert(ids, np.cumsum(n), end_id).astype(np.int32))
-                counts.append(n + 1)
-            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            done = [encoder(texts) for texts in _runs(batch.column(1))]
+            n = np.concatenate([n for _, n in done]) if done else np.zeros(0, np.int32)
             ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), tokens], ["doc_id", "n_tokens", "tokens"])
+            tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([ids for ids, _ in done]) if done else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), tokens], ["doc_id", "n_tokens", "tokens"])
 
     return documents.mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>")
 

@@ -131,6 +131,22 @@ def test_tokens_round_trip(spark):
         start += len(ids)
 
 
+def test_chunk_encoder_with_a_warm_cache_equals_the_tokenizer():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), token_output.ChunkEncoder(path, 2)
+    bits = ["foo", "Bar", "[1]", '"', "'s", "don't", "ÜBER", "straße", "Σας", "İ", "e\u0301", "\u0301", ".", ",", "!", "...", "(", ")", "]", "你好", "²", "\u00a0", "\u3000", "\t", "\r\n", "\x1c", "<|endoftext|>", "</w>", "क़", "ﬁ", "&", "7", "A", "\u0338", "🙂", "\x00"]
+    rng = random.Random(6)
+    fixed = ["[1]", "[1].", '"word"', '"word".', "foo]", "foo].", "-", "-.", "a-", "a-,", ""]
+    for _ in range(60):
+        texts = fixed + ["".join(rng.choice(bits) + (" " if rng.random() < 0.35 else "") for _ in range(rng.randrange(25))) for _ in range(20)]
+        ids, n = encoder(pa.array(texts, pa.large_string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_decontamination_equals_brute_force(spark):
     import re
 
