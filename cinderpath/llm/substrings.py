@@ -344,8 +344,9 @@ def deduplicate_substrings(documents: DataFrame, length: int = LENGTH, gram: int
     keys = long_.mapInArrow(_anchor_rows(length, gram, False), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n"))
     keys = save(keys.where("lo < hi").select("key", (F.col("n") > key_rows).cast("int").alias("crowded")))
     places = long_.mapInArrow(_anchor_rows(length, gram, True), "key long, doc_id long, pos int").join(keys.hint("shuffle_hash"), "key")
-    places = places.groupBy("doc_id").agg(F.collect_list(F.col("pos") * F.lit(2).cast("long") + F.col("crowded")).alias("places"))
+    places = save(places.groupBy("doc_id").agg(F.collect_list(F.col("pos") * F.lit(2).cast("long") + F.col("crowded")).alias("places")))
     placed = save(long_.join(places, "doc_id").select("doc_id", "text", "places"))
+    drop(spark, places)
     rows = placed.mapInArrow(_contexts(length, gram, False), CONTEXT).repartition("key").sortWithinPartitions("key")
     found = save(rows.mapInArrow(_solved(length, gram), "doc_id long, start int, end int"))
     if not keys.where("crowded = 1").isEmpty():
