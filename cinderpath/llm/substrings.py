@@ -22,8 +22,9 @@ from .suffix_groups import suffix_array
 
 #: Bytes of a string, and of its anchor.
 LENGTH, GRAM = 50, 20
-#: Anchors of one key that meet in one task at most; those of larger keys are compared by aggregations of their strings.
-KEY_ROWS = 10_000
+#: Anchors of one key that meet in one task at most (some 20 MB of contexts, and ten times that while they are solved); those of
+#: larger keys are compared by aggregations of their strings, with the same result.
+KEY_ROWS = 200_000
 #: Rows that are solved together (whole keys), letters that are sorted at a time, and bytes whose anchors are sought at a time.
 SOLVE_ROWS, SORT_LETTERS, ANCHOR_BYTES = 40_000, 200_000, 1 << 17
 
