@@ -38,7 +38,9 @@ def _pairs(nodes: DataFrame, least: float) -> DataFrame:
     own = own.join(crowded, keys, "left").select(*keys, "x", F.pmod(F.xxhash64("x"), salts).cast("int").alias("salt"))
     other = other.join(crowded, keys, "left").select(*keys, "y", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     found = own.join(other, [*keys, "salt"]).where("length(y) < l or x < y")
-    return found.where(T.edit_similarity("x", "y") >= least).select("type", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # Names come normalised; the distance is given up once it is over what is allowed.
+    found = found.withColumn("most", F.greatest(F.length("x"), F.length("y"))).where(F.expr(f"x = y or levenshtein(x, y, cast(floor({1.0 - least!r} * most + 1e-9) as int)) >= 0"))
+    return found.select("type", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def resolve(entities: DataFrame, least: float = 0.85) -> DataFrame:

@@ -249,7 +249,7 @@ def latest_version(spark, sf_dir):
 
 @query(
     "WITH y AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderdate AS d, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders) "
-    "SELECT c AS customer, count_if(date_diff('day', CAST(p AS DATE), CAST(d AS DATE)) > 180) AS gaps, round(greatest(0.0, 1 - 0.2 * count_if(date_diff('day', CAST(p AS DATE), CAST(d AS DATE)) > 180)), 6) AS consistency FROM y GROUP BY c"
+    "SELECT c AS customer, coalesce(count_if(date_diff('day', CAST(p AS DATE), CAST(d AS DATE)) > 180), 0) AS gaps, round(greatest(0.0, 1 - 0.2 * coalesce(count_if(date_diff('day', CAST(p AS DATE), CAST(d AS DATE)) > 180), 0)), 6) AS consistency FROM y GROUP BY c"
 )
 def temporal_chain(spark, sf_dir):
     """Gaps in each chain of dates, and its consistency."""

@@ -198,7 +198,19 @@ def canonical_lookup(spark, sf_dir):
     return R.lookup(mentions, part.select(key, F.col("p_name").alias("name")), part.select(key, F.col("p_brand").alias("alias")))
 
 
-@query()
+#: The least label of a component is known after as many rounds as the widest component has links between two names, at most.
+_ROUNDS = 12
+_RESOLVED = (
+    GRAPH + ", m AS MATERIALIZED (SELECT id, type, regexp_replace(regexp_replace(trim(lower(name)), '\\s+', ' ', 'g'), '^(the|a|an) ', '') AS norm FROM entities), "
+    "u AS MATERIALIZED (SELECT type, norm, min(id) AS rep FROM m GROUP BY ALL), "
+    "k AS MATERIALIZED (SELECT x.rep AS a, y.rep AS b FROM u x JOIN u y ON x.type = y.type AND x.norm <> y.norm AND abs(length(x.norm) - length(y.norm)) <= 0.15 * greatest(length(x.norm), length(y.norm)) + 1e-9 "
+    "WHERE levenshtein(x.norm, y.norm) <= floor(0.15 * greatest(length(x.norm), length(y.norm)) + 1e-9)), l0 AS MATERIALIZED (SELECT rep, rep AS c FROM u)"
+    + "".join(f", l{i} AS MATERIALIZED (SELECT o.rep, least(o.c, coalesce(n.c, o.c)) AS c FROM l{i - 1} o LEFT JOIN (SELECT a, min(c) AS c FROM k JOIN l{i - 1} ON rep = b GROUP BY a) n ON n.a = o.rep)" for i in range(1, _ROUNDS + 1))
+    + f" SELECT m.id, c AS cluster FROM m JOIN u ON m.type = u.type AND m.norm = u.norm JOIN l{_ROUNDS} l ON l.rep = u.rep"
+)
+
+
+@query(_RESOLVED)
 def resolved_entities(spark, sf_dir):
     return R.resolve(entities(spark, sf_dir).select("id", "type", "name"))
 

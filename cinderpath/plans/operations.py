@@ -37,7 +37,18 @@ def daily_alerts(spark, sf_dir):
     return S.alerts(S.rates(rows, "1 day"), 0.2, 50).select(F.col("start").cast("timestamp_ntz").alias("start"), "rule", "value")
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS id, epoch(ts) AS sec, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), "
+    "s AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS id, 'closed' AS state, CAST([] AS DOUBLE[]) AS fails, CAST(0.0 AS DOUBLE) AS opened, 0 AS good, '' AS outcome FROM e "
+    "UNION ALL SELECT k, r, id, CASE WHEN now = 'half_open' AND failed OR now = 'closed' AND failed AND len(more) >= 3 THEN 'open' WHEN now = 'half_open' AND g + 1 >= 2 THEN 'closed' ELSE now END, "
+    "CASE WHEN now = 'half_open' AND NOT failed AND g + 1 >= 2 THEN CAST([] AS DOUBLE[]) WHEN now = 'closed' THEN more ELSE fails END, "
+    "CASE WHEN now = 'half_open' AND failed OR now = 'closed' AND failed AND len(more) >= 3 THEN sec ELSE opened END, CASE WHEN now = 'half_open' AND NOT failed THEN g + 1 ELSE g END, "
+    "CASE WHEN now = 'open' THEN 'rejected' WHEN now = 'half_open' AND failed OR now = 'closed' AND failed AND len(more) >= 3 THEN 'open' WHEN now = 'half_open' AND g + 1 >= 2 THEN 'closed' ELSE now END "
+    "FROM (SELECT *, CASE WHEN now = 'closed' AND failed THEN list_append(list_filter(fails, lambda t: sec - t <= 432000), sec) ELSE fails END AS more FROM "
+    "(SELECT e.k, e.r, e.id, e.sec, e.failed, s.fails, s.opened, CASE WHEN s.state = 'open' AND e.sec - s.opened >= 86400 THEN 'half_open' ELSE s.state END AS now, "
+    "CASE WHEN s.state = 'open' AND e.sec - s.opened >= 86400 THEN 0 ELSE s.good END AS g FROM s JOIN e ON e.k = s.k AND e.r = s.r + 1))) "
+    "SELECT CAST(k AS VARCHAR) AS key, id, outcome FROM s WHERE r > 0"
+)
 def breaker_outcomes(spark, sf_dir):
     """Breakers a user, over error events, with limits that suit these sparse events."""
     rows = table(spark, sf_dir, "events")

@@ -203,7 +203,7 @@ def optional_place(spark, sf_dir):
 
 def _stored(nodes: DataFrame) -> DataFrame:
     """An earlier state of the nodes: some are missing, some had another name, some another confidence."""
-    number = F.crc32(F.col("id").cast("binary"))
+    number = F.substring("id", 3, 20).cast("long")
     return nodes.where(number % 11 != 0).select(
         "id",
         F.when(number % 7 == 0, F.concat("name", F.lit(" (old)"))).otherwise(F.col("name")).alias("name"),
@@ -212,7 +212,12 @@ def _stored(nodes: DataFrame) -> DataFrame:
     )
 
 
-@query()
+@query(
+    GRAPH + ", n AS (SELECT id, name, type, confidence, CAST(substr(id, 3) AS BIGINT) AS k FROM entities), "
+    "o AS (SELECT id, CASE WHEN k % 7 = 0 THEN concat(name, ' (old)') ELSE name END AS name, type, CASE WHEN k % 5 = 0 THEN 0.01 ELSE confidence END AS confidence FROM n WHERE k % 11 <> 0) "
+    "SELECT n.id, CASE WHEN o.id IS NULL THEN 'NEW' WHEN o.name <> n.name OR o.type <> n.type THEN 'MODIFIED' WHEN o.confidence <> n.confidence THEN 'EXTRA_ONLY' ELSE 'UNCHANGED' END AS change "
+    "FROM n LEFT JOIN o ON o.id = n.id"
+)
 def changed_entities(spark, sf_dir):
     nodes = entities(spark, sf_dir).select("id", "name", "type", "confidence")
     return M.changes(_stored(nodes), nodes, ["id"], ["name", "type"], ["confidence"])

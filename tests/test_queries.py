@@ -39,6 +39,15 @@ def test_query_equals_sql(spark, duck, name):
     assert got == _rows(duck.execute(plans.ORACLE_SQL[name]).df())
 
 
+@pytest.mark.parametrize("name", ["temporal_chain", "resolved_entities", "breaker_outcomes", "changed_entities"])
+def test_query_equals_sql_on_more_rows(spark, name):
+    data = SF.replace("0.001", "0.01")
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    assert _rows(plans.QUERIES[name](spark, data).toPandas()) == _rows(con.execute(plans.ORACLE_SQL[name]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
 def test_query_without_sql_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
