@@ -50,14 +50,15 @@ _CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": (
 
 class Block(NamedTuple):
     text: str
-    path: str
+    node: int  # a hash of the elements' names and classes from the root to the block
     zone: int  # 3 in an article, 2 in main, 1 in an element named as content, 0 elsewhere
     linked: int
+    noise: bool  # markup itself calls it something else than main text
 
 
 class _Frame(NamedTuple):
     tag: str
-    path: str
+    node: int
     noise: int  # 2 stays so in an article within it, 1 doesn't
     header: bool
     zone: int
@@ -97,12 +98,42 @@ def _open(tag: str, attributes: str, above: _Frame) -> _Frame:
                 header = True
             elif "".join(parts) in CONTENT_NAMES or parts[-1] in ("content", "body") and parts[0] in CONTENT_NAMES | {"main"}:
                 zone = max(zone, 1)
-    return _Frame(tag, f"{above.path}>{tag}.{classes}"[-400:], noise, header, zone)
+    return _Frame(tag, xxhash.xxh64_intdigest(f"{tag}.{classes}", above.node), noise, header, zone)
+
+
+class _Stack:
+    """Open elements, with the places of each name's, of block elements and of walls (those and table cells); all steps take
+    constant time but for what they remove."""
+
+    def __init__(self):
+        self.frames = [_Frame("", 0, 0, False, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.walls = [0], [0]
+
+    def push(self, frame: _Frame) -> None:
+        at = len(self.frames)
+        self.frames.append(frame)
+        self.places.setdefault(frame.tag, []).append(at)
+        if frame.tag in BLOCK:
+            self.blocks.append(at)
+        if frame.tag in BLOCK or frame.tag in ("td", "th"):
+            self.walls.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.frames) > at:
+            self.places[self.frames.pop().tag].pop()
+        for places in (self.blocks, self.walls):
+            while places[-1] >= at:
+                places.pop()
+
+    def last(self, *tags: str) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
 
 def parse(page: str) -> list[Block]:
-    """The blocks of a page's main part, in page order, before the style tree is asked."""
-    stack = [_Frame("", "", 0, False, 0)]
+    """All text blocks of a page, in page order; linear in its length."""
+    stack = _Stack()
     blocks: list[Block] = []
     words: list[str] = []
     linked = links = at = 0
@@ -113,15 +144,11 @@ def parse(page: str) -> list[Block]:
         if words:
             text = " ".join("".join(words).split())
             words.clear()
-            top = stack[-1]
-            if text and not top.noise and (heading or not top.header):
-                while top.tag not in BLOCK and len(stack) > 1 and top is not owner[0]:
-                    top = owner[0]
-                blocks.append(Block(text, top.path, top.zone, linked))
+            if text:
+                inner, owner = stack.frames[-1], stack.frames[stack.blocks[-1]]
+                blocks.append(Block(text, owner.node, inner.zone, linked, bool(inner.noise) or inner.header and not heading))
         linked, heading = 0, False
 
-    owner = [stack[0]]  # the innermost open block element
-
     def text(s: str) -> None:
         nonlocal linked
         if "&" in s:
@@ -149,27 +176,19 @@ def parse(page: str) -> list[Block]:
                 words.append(" ")
             if tag in BLOCK:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":  # a block ends an open paragraph
-                        del stack[k:]
-                        break
-                    if stack[k].tag in BLOCK or stack[k].tag in ("td", "th"):
-                        break
+                if stack.frames[stack.walls[-1]].tag == "p":  # a block ends an open paragraph
+                    stack.cut(stack.walls[-1])
             if tag in _CLOSES:
                 gone, walls = _CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in walls:
-                        break
-                    if stack[k].tag in gone.split():
-                        del stack[k:]
-                        break
+                k = stack.last(*gone.split())
+                if k > stack.last(*walls):
+                    stack.cut(k)
             if tag in VOID:
                 continue
             if tag == "a":
                 links += 1
-            stack.append(_open(tag, m[3] if m[2] else m[6] or "", stack[-1]))
+            stack.push(_open(tag, m[3] if m[2] else m[6] or "", stack.frames[-1]))
             if tag in BLOCK:
-                owner[0] = stack[-1]
                 heading = tag in HEADING
         else:
             if tag == "a":
@@ -177,42 +196,44 @@ def parse(page: str) -> list[Block]:
             if tag in BLOCK:
                 heading = heading or tag in HEADING
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break  # a stray end tag of an inline element
-            if tag in BLOCK:
-                owner[0] = next((f for f in reversed(stack) if f.tag in BLOCK), stack[0])
+            k = stack.last(tag)
+            if k and (tag in BLOCK or k > stack.blocks[-1]):  # else a stray end tag
+                stack.cut(k)
     if at < len(page):
         text(page[at:])
     flush()
+    return blocks
+
+
+def main_part(blocks: list[Block]) -> list[Block]:
+    """Of a page's blocks those that its markup lets be main text; the style tree may still remove some."""
+    blocks = [b for b in blocks if not b.noise]
     best = max((b.zone for b in blocks), default=0)
-    kept = [b for b in blocks if b.zone >= best] if best else [b for b in blocks if b.linked * 2 <= len(b.text) or len(b.text) > 200]
-    return kept
+    return [b for b in blocks if b.zone >= best] if best else [b for b in blocks if b.linked * 2 <= len(b.text) or len(b.text) > 200]
 
 
 def _host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 63)
+
+
 def _features(batches):
     for batch in batches:
         out = {"host": [], "node": [], "feature": [], "shape": [], "page": []}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            blocks = parse(page or "")
-            whole = xxhash.xxh64_intdigest(page or "") - (1 << 63)
-            nodes: dict[str, list[Block]] = {}
-            for b in blocks:
-                nodes.setdefault(b.path, []).append(b)
-            for path, own in nodes.items():
-                shape = min(len(own), 8)
-                for feature in {xxhash.xxh64_intdigest(b.text) - (1 << 63) for b in own}:
+            whole = _signed(xxhash.xxh64_intdigest(page or ""))
+            nodes: dict[int, list[Block]] = {}
+            for b in parse(page or ""):
+                nodes.setdefault(b.node, []).append(b)
+            for node, own in nodes.items():
+                for feature in {xxhash.xxh64_intdigest(b.text) for b in own}:
                     out["host"].append(host)
-                    out["node"].append(xxhash.xxh64_intdigest(path) - (1 << 63))
-                    out["feature"].append(feature)
-                    out["shape"].append(shape)
+                    out["node"].append(_signed(node))
+                    out["feature"].append(_signed(feature))
+                    out["shape"].append(len(own))
                     out["page"].append(whole)
         yield pa.RecordBatch.from_pydict(out, pa.schema([("host", pa.string()), ("node", pa.int64()), ("feature", pa.int64()), ("shape", pa.int32()), ("page", pa.int64())]))
 
@@ -220,47 +241,55 @@ def _features(batches):
 def style_tree(pages: DataFrame) -> DataFrame:
     """host, node, pages, importance of each element node that the different pages of a host share.
 
-    Content: 1 less the mean, over the node's different texts, of log(pages with the text) / log(pages).
-    Presentation: the entropy of the node's shapes, to the base of its pages. A node of one page has 1.
+    Content: the exponent of the entropy of the node's texts over their number, repeats included: 1 where each text is on
+    one page, and 1/c where each is on c of them, however many pages and texts the host has.
+    Presentation: the entropy of the node's shapes, to the base of its pages.
     """
     rows = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_features, "host string, node long, feature long, shape int, page long")
     rows = save(rows.distinct())
-    size = save(rows.groupBy("host", "node").agg(F.approx_count_distinct("page", 0.02).alias("pages")).where(F.col("pages") >= MIN_PAGES))
+    size = save(rows.groupBy("host", "node").agg(F.countDistinct("page").alias("pages")).where(F.col("pages") >= MIN_PAGES))
     spread = rows.groupBy("host", "node", "feature").count()
-    content = spread.groupBy("host", "node").agg(F.sum(F.log("count")).alias("logs"), F.count("*").alias("features"))
+    content = spread.groupBy("host", "node").agg(F.sum(F.col("count") * F.log("count")).alias("logs"), F.sum("count").alias("texts"))
     shapes = rows.select("host", "node", "shape", "page").distinct().groupBy("host", "node", "shape").count()
     shape = shapes.groupBy("host", "node").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.log("count")).alias("nlog"))
     base = F.log("pages")
     presentation = F.when(F.col("n") > 0, (F.log("n") - F.col("nlog") / F.col("n")) / base)
-    importance = GAMMA * (1 - F.col("logs") / F.col("features") / base) + (1 - GAMMA) * presentation
+    importance = GAMMA * F.exp(-F.col("logs") / F.col("texts")) + (1 - GAMMA) * presentation
     return size.join(content, ["host", "node"]).join(shape, ["host", "node"]).select("host", "node", "pages", importance.alias("importance"))
 
 
 def _texts(batches):
     for batch in batches:
-        texts, counts = [], []
+        texts, counts, by_tree, by_markup = [], [], [], []
         for page, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             blocks = parse(page or "")
-            if low and blocks:
-                low = set(low)
-                total = sum(len(b.text) for b in blocks)
-                share: dict[str, int] = {}
-                for b in blocks:
-                    share[b.path] = share.get(b.path, 0) + len(b.text)
-                gone = {p for p, n in share.items() if xxhash.xxh64_intdigest(p) - (1 << 63) in low and n <= LARGE_SHARE * total}
-                blocks = [b for b in blocks if b.path not in gone]
-            texts.append("\n\n".join(b.text for b in blocks))
+            kept = main_part(blocks)
+            gone = set(low or ())
+            by_tree.append(sum(_signed(b.node) in gone for b in blocks))
+            by_markup.append(len(blocks) - len(kept))
+            if gone and kept:
+                total = sum(len(b.text) for b in kept)
+                share: dict[int, int] = {}
+                for b in kept:
+                    share[b.node] = share.get(b.node, 0) + len(b.text)
+                kept = [b for b in kept if not (_signed(b.node) in gone and share[b.node] <= LARGE_SHARE * total)]
+            texts.append("\n\n".join(b.text for b in kept))
             counts.append(len(texts[-1]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], ["page_id", "url", "text", "n_chars"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (counts, by_tree, by_markup))],
+            ["page_id", "url", "text", "n_chars", "tree_blocks", "markup_blocks"],
+        )
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page: its main text, blocks joined by two line ends.
-
-    Elements that markup itself calls navigation, header, footer, sidebar, notice, advert, form or reader
-    comment have no importance; an article (or else main, or an element named as content) is where the text
-    is looked for. What is left is merged into a style tree over the host's different pages, and branches
-    with low importance are removed, unless they hold most of their page's text. The tree's verdicts, some
+    """page_id, url, text, n_chars of every page: its main text, blocks joined by two line ends; tree_blocks and
+    markup_blocks, how many blocks the style tree finds unimportant and how many the page's own markup rules out.
+
+    All blocks of a host's different pages, whatever they are called, are merged into a style tree, and branches with low
+    importance are removed, unless they hold over LARGE_SHARE of what is left of their page. The tree can't tell a
+    reader comment, a form or an advert that is different on each page from the article; for those, markup is a prior:
+    elements that it calls navigation, header, footer, sidebar, notice, advert, form or comment have no importance, and
+    an article (or else main, or an element named as content) is where the text is looked for. The tree's verdicts, some
     hashes a host, meet the pages in a join that Spark broadcasts only while they are small.
 
     A null or empty page has an empty text; a null url counts as a host of its own name, "". Repeated pages
@@ -270,4 +299,4 @@ def extract(pages: DataFrame) -> DataFrame:
     low = style_tree(pages).where(F.col("importance") < LEAST_IMPORTANCE)
     low = save(low.groupBy("host").agg(F.collect_set("node").alias("low")))
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("host"))
-    return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(_texts, "page_id long, url string, text string, n_chars long, tree_blocks long, markup_blocks long")

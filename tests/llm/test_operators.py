@@ -252,6 +252,28 @@ def test_style_tree_drops_what_a_host_repeats(spark):
     assert got == dict(enumerate(texts))
 
 
+def test_style_tree_alone_removes_unnamed_parts(spark):
+    page = "<html><body><div class=ka><span>Home</span> <span>News of today</span></div><div class=kb><p>{}</p><p>{}</p></div><div class=kc><p>Buy two of our fine kettles and get one more</p></div><div class=kd>All rights are ours</div></body></html>"
+    rng = random.Random(4)
+    texts = [[" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(2)] for _ in range(9)]
+    rows = [(i, f"http://d.example/{i}", page.format(*t)) for i, t in enumerate(texts)]
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: "\n\n".join(t) for i, t in enumerate(texts)}
+    assert all(r.tree_blocks == 3 and r.markup_blocks == 0 for r in got.values())
+
+
+def test_parser_is_linear_on_hostile_pages():
+    import time
+
+    n = 60_000
+    start = time.process_time()
+    for page in ("<b>" * n + "</i>" * n, "<p><table><td>" + "<b>" * n + "<div></div>" * n, "<ul><li>" + "<i>" * n + "<li>" * n, '<a "' * n, "<script>" * n, "<div>" * n + "x"):
+        html_extract.parse(page)
+    assert time.process_time() - start < 30
+    deep = "<div class=a>" * 300
+    assert len({html_extract.parse(f"{deep}<p class={c}>x</p>")[0].node for c in "bc"} | {html_extract.parse("<div class=z>" + deep + "<p class=b>x</p>")[0].node}) == 3
+
+
 def test_viterbi_in_blocks_equals_whole(spark, monkeypatch):
     rng = random.Random(2)
     rows = []
