@@ -28,9 +28,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; only where that is unset (tests), a local one."""
+    """A new folder below the shared checkpoint folder. Where that is unset, a local one on a local master (tests), an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "cinderpath-checkpoints")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 

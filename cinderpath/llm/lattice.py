@@ -57,43 +57,39 @@ def cells(unit: np.ndarray, table: int) -> np.ndarray:
     near = np.argpartition(-((x - own) @ _ROOTS.T), PROBES, axis=1)[:, :PROBES]
     points = np.concatenate([own[:, None], own[:, None] + _ROOTS[near]], axis=1)
     whole = np.rint(2 * points).astype(np.int64).view(_U)
-    key = np.full(whole.shape[:2], _U(table + 1))
+    key = np.full(whole.shape[:2], _U(table + 1 + TABLES * unit.shape[1]))
     for i in range(8):
         key = mix(key * _U(0x9FB21C651E98DF25) + whole[..., i])
     return key.view(np.int64)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision of the rows that have one, and which those are."""
-    rows = column.to_pylist()
-    width = max((len(r) for r in rows if r), default=0)
-    ok = np.array([r is not None and len(r) == width > 0 and None not in r for r in rows], bool)
-    x = np.array([r for r, good in zip(rows, ok, strict=True) if good], np.float64).reshape(-1, width)
-    with np.errstate(all="ignore"):
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-    fine = np.isfinite(x).all(axis=1)
-    return x[fine], np.flatnonzero(ok)[fine]
+def _fixed(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix."""
+    start, end = column.offsets[0].as_py(), column.offsets[-1].as_py()
+    return column.values.slice(start, end - start).to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _fixed(column: pa.Array) -> np.ndarray:
-    return column.values.slice(column.offsets[0].as_py(), column.offsets[-1].as_py() - column.offsets[0].as_py()).to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _entries(batches):
+    """The cells of vectors without null, zero or non-finite ones; lengths may differ."""
     for batch in batches:
-        unit, rows = _matrix(batch.column(2))
-        if not len(rows):
-            continue
-        small = batch.take(pa.array(rows))
-        for table in range(TABLES):
-            keys = cells(unit, table)
-            n, k = keys.shape
-            take = pa.array(np.repeat(np.arange(n), k))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.ravel()), pa.array(np.tile(np.arange(k) == 0, n)), *(small.column(i).take(take) for i in range(3))],
-                ["cell", "home", "vec_id", "copies", "embedding"],
-            )
+        widths = np.diff(batch.column(2).offsets.to_numpy())
+        for width in np.unique(widths).tolist():
+            small = batch.take(pa.array(np.flatnonzero(widths == width)))
+            unit = _unit(_fixed(small.column(2)))
+            for table in range(TABLES):
+                keys = cells(unit, table)
+                n, k = keys.shape
+                take = pa.array(np.repeat(np.arange(n), k))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.ravel()), pa.array(np.tile(np.arange(k) == 0, n)), *(small.column(i).take(take) for i in range(3))],
+                    ["cell", "home", "vec_id", "copies", "embedding"],
+                )
 
 
 def _compare(group: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, ...] | None:
@@ -101,9 +97,7 @@ def _compare(group: dict[str, np.ndarray], cosine: float) -> tuple[np.ndarray, .
     left, right = np.flatnonzero(group["home"] & (group["role"] != 2)), np.flatnonzero(group["role"] != 1)
     if not len(left) or len(right) < 2 and (group["role"] == 0).all():
         return None
-    ids, x = group["vec_id"], group["embedding"].astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    ids, x = group["vec_id"], _unit(group["embedding"])
     i, j = np.nonzero(x[left] @ x[right].T >= cosine)
     a, b = left[i], right[j]
     # Two at home meet as (a, b) and as (b, a), and a row meets itself.
@@ -148,11 +142,20 @@ def _blocks(cosine: float):
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], ["node", "root", "links"])
 
+        def parts():
+            """Each batch's runs of one vector length."""
+            for batch in batches:
+                widths = np.diff(batch.column("embedding").offsets.to_numpy())
+                bounds = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), len(widths)]
+                for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                    if j > i:
+                        yield {n: (_fixed(c.slice(i, j - i)) if n == "embedding" else c.slice(i, j - i).to_numpy(zero_copy_only=False)) for n in ["block", *names] for c in [batch.column(n)]}
+
         rest = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = {n: (_fixed(batch.column(n)) if n == "embedding" else batch.column(n).to_numpy(zero_copy_only=False)) for n in ["block", *names]}
+        for part in parts():
+            if rest is not None and rest["embedding"].shape[1] != part["embedding"].shape[1]:
+                yield from emit(rest)
+                rest = None
             if rest is not None:
                 part = {n: np.concatenate([rest[n], part[n]]) for n in part}
             last = int(np.searchsorted(part["block"], part["block"][-1], "left"))
@@ -174,9 +177,8 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
     Large cells are split into pairs of blocks, so no task holds a hot cell. A block reports its nodes
     with their local root and degree, never pairs; a pair counts in the first table where it meets.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Vectors
-    of another length than their batch's longest are treated so, too: a table has one width. Rows with a
-    null id are dropped. Other columns are ignored. An empty table gives an empty result.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
+    different lengths never link with each other. Rows with a null id are dropped. Other columns are ignored. An empty table gives an empty result.
     """
     tune(vectors.sparkSession)
     v = F.col("embedding")
@@ -199,7 +201,7 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str
         .withColumn("r", F.explode(roles))
         .select(F.xxhash64("cell", "r.i", "r.j").alias("block"), "cell", "home", "r.role", "vec_id", "copies", "embedding")
     )
-    found = save(placed.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(cosine), "node long, root long, links long"))
+    found = save(placed.repartition("block").sortWithinPartitions(F.size("embedding"), "block").mapInArrow(_blocks(cosine), "node long, root long, links long"))
     comps = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     degree = found.groupBy("node").agg(F.sum("links").alias("links"))
     reps = save(same.join(degree, F.col("rep") == F.col("node"), "left").drop("node").join(comps, F.col("rep") == F.col("node"), "left").select("embedding", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))

@@ -214,7 +214,9 @@ def mixed_documents(documents: DataFrame, mixture: DataFrame) -> DataFrame:
 
     The mixture has a row for each document, so it is never broadcast: both sides are shuffled at every size.
     """
-    copies = mixture.select(F.col("doc_id").alias("mixed_id"), "copies").hint("merge")
-    rows = documents.join(copies, documents["doc_id"] == F.col("mixed_id"), "left")
+    copies = mixture.select(F.col("doc_id").alias("id"), "copies").hint("merge")
+    # The document is one column, so that its columns' names, whatever they are, meet no others.
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    rows = rows.join(copies, F.col("row.doc_id") == F.col("id"), "left")
     times = F.sequence(F.lit(1), F.coalesce("copies", F.lit(1)))
-    return rows.where(F.coalesce("copies", F.lit(1)) > 0).withColumn("time", F.explode(times)).select(*(documents[c] for c in documents.columns))
+    return rows.where(F.coalesce("copies", F.lit(1)) > 0).select("row", F.explode(times)).select("row.*")

@@ -108,6 +108,28 @@ def test_lattice_equals_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_lattice_links_each_width_and_finds_pairs_near_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows, want, n = [], set(), 0
+    for width in (64, 8, 16):
+        for _ in range(300):
+            a = rng.normal(size=width)
+            a /= np.linalg.norm(a)
+            b = rng.normal(size=width)
+            b -= (a @ b) * a
+            b /= np.linalg.norm(b)
+            c = rng.uniform(0.9505, 0.97)  # planted pairs just over the threshold
+            rows += [(n, a.tolist()), (n + 1, (c * a + np.sqrt(1 - c * c) * b).tolist())]
+            want.add((n, n + 1))
+            n += 2
+    rng.shuffle(rows)
+    rows = [(int(i), [float(y) for y in x]) for i, x in rows]
+    got = {r.vec_id: r.component_id for r in lattice.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert len(got) == n and sum(got[a] == got[b] for a, b in want) >= 0.995 * len(want)
+    size = {int(i): len(x) for i, x in rows}
+    assert all(size[i] == size[c] for i, c in got.items())
+
+
 def test_nearest_lattice_points_are_nearest():
     x = np.random.default_rng(0).normal(size=(50, 8)) * 2
     own = lattice.nearest_e8(x)
@@ -329,6 +351,13 @@ def test_mixing_meets_targets(spark):
     assert mixed.columns == docs.columns and mixed.count() == out.copies.sum()
 
 
+def test_mixed_documents_take_any_column_names(spark):
+    docs = spark.createDataFrame([(0, "a", 7, 1, 2, 3, 4), (1, "b", 8, 1, 2, 3, 4), (None, "c", 9, 1, 2, 3, 4), (2, "d", 9, 1, 2, 3, 4), (2, "d", 9, 1, 2, 3, 4)], "doc_id long, text string, copies int, time int, mixed_id int, id int, `a.b` int")
+    mixture = spark.createDataFrame([(0, 2), (1, 0), (2, 1)], "doc_id long, copies int")
+    got = mixing.mixed_documents(docs, mixture)
+    assert got.columns == docs.columns and sorted((r.text, r.copies) for r in got.collect()) == [("a", 7), ("a", 7), ("c", 9), ("d", 9), ("d", 9)]
+
+
 def test_mixing_meets_skewed_targets(spark):
     rng = random.Random(5)
     vocabulary = {"a": [f"a{i}" for i in range(30)], "b": [f"b{i}" for i in range(30)], "c": [f"c{i}" for i in range(30)]}
