@@ -16,7 +16,6 @@ _ANY = "|".join(w for ws in MARKERS.values() for w in ws)
 _LINE = rf"(?i)^[ \t]*[#*\[<|]{{0,3}}({_ANY})[\]>|*]{{0,3}}[ \t]*[:>：][ \t]*"
 #: Segments of a block; blocks of a superblock. Only boundaries of blocks meet in one task.
 BLOCK = 512
-NEVER = -1e9
 
 
 def segments(transcripts: DataFrame) -> DataFrame:
@@ -158,8 +157,8 @@ def format_chats(transcripts: DataFrame) -> DataFrame:
         first = mats[0] - m.step + m.start  # every entry state stands for the beginning
         return [first, *mats[1:]]
 
-    long_ids = save(keyed.where("block > 0").select("conv_id").distinct())
-    short, long_ = keyed.join(long_ids, "conv_id", "left_anti"), keyed.join(long_ids, "conv_id", "left_semi")
+    long_ids = save(keyed.groupBy("conv_id").agg(F.min("block").alias("opening"), F.max("block").alias("closing")).where("opening < closing").select("conv_id", "opening"))
+    short, long_ = keyed.join(long_ids, "conv_id", "left_anti"), keyed.join(long_ids, "conv_id")
     schema = "conv_id long, turn long, seg int, role string, speaker string, rendered string"
 
     def rendered(t: pa.Table, states: list[int]) -> pa.Table:
@@ -171,20 +170,20 @@ def format_chats(transcripts: DataFrame) -> DataFrame:
         return rendered(t, best_path(opening(matrices(t)), 0, None))
 
     columns = ["conv_id", "block", "super", "turn", "seg", "role", "body", *FEATURES]
+    opens = lambda t: t.column("block")[0].as_py() == t.column("opening")[0].as_py()
     order = ["conv_id", "block", "turn", "role", "text", "seg"]
     near = short.repartition("conv_id").sortWithinPartitions(*order).select(*columns).mapInArrow(_grouped(1, decode), schema)
 
     # Long conversations: products of blocks, the states between superblocks, between blocks, then within them.
     def up(t: pa.Table) -> pa.Table:
         mats = matrices(t)
-        block = t.column("block")[0].as_py()
-        if block == 0:
+        if opens(t):
             mats = opening(mats)
         return pa.table({"conv_id": t.column("conv_id")[:1], "super": t.column("super")[:1], "block": t.column("block")[:1], "m": pa.array([product(mats).ravel().tolist()])})
 
     square = lambda row: np.array(row).reshape(k, k)
     again = lambda df, *keys: df.repartition(*keys[:2]).sortWithinPartitions(*keys)
-    ups = save(again(long_, "conv_id", "block", "turn", "role", "text", "seg").select(*columns).mapInArrow(_grouped(2, up), "conv_id long, super long, block long, m array<double>"))
+    ups = save(again(long_, "conv_id", "block", "turn", "role", "text", "seg").select(*columns, "opening").mapInArrow(_grouped(2, up), "conv_id long, super long, block long, m array<double>"))
     supers = again(ups, "conv_id", "super", "block").mapInArrow(
         _grouped(2, lambda t: pa.table({"conv_id": t.column("conv_id")[:1], "super": t.column("super")[:1], "m": pa.array([product([square(x) for x in t.column("m").to_pylist()]).ravel().tolist()])})),
         "conv_id long, super long, m array<double>",
@@ -205,9 +204,9 @@ def format_chats(transcripts: DataFrame) -> DataFrame:
 
     def within(t: pa.Table) -> pa.Table:
         mats = matrices(t)
-        if t.column("block")[0].as_py() == 0:
+        if opens(t):
             mats = opening(mats)
         return rendered(t, best_path(mats, t.column("entry")[0].as_py(), t.column("end")[0].as_py()))
 
-    far = again(long_.join(inner, ["conv_id", "block"]), "conv_id", "block", "turn", "role", "text", "seg").select(*columns, "entry", "end").mapInArrow(_grouped(2, within), schema)
+    far = again(long_.join(inner, ["conv_id", "block"]), "conv_id", "block", "turn", "role", "text", "seg").select(*columns, "opening", "entry", "end").mapInArrow(_grouped(2, within), schema)
     return near.unionByName(far)

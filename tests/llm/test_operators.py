@@ -316,6 +316,47 @@ def test_viterbi_in_blocks_equals_whole(spark, monkeypatch):
     assert held and all(v[0] == ("user" if k[1] % 2 == 0 else "assistant") for k, v in held)
 
 
+def test_viterbi_equals_every_sequence(spark, monkeypatch):
+    import itertools
+
+    rng = random.Random(9)
+    rows = [(c, t + (600 if c == 4 else 0), "user" if t % 2 == 0 else "assistant", f"{rng.choice(WORDS)} {rng.choice(WORDS)}{'?' * (rng.random() < 0.6)}" + "\nmore" * rng.randrange(3)) for c in range(8) for t in range(rng.randrange(2, 8))]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    parts = chat.segments(frame)
+    model = chat.Speakers(parts)
+    by = {}
+    for r in sorted(parts.collect(), key=lambda r: (r.conv_id, r.turn, r.role, r.text, r.seg)):
+        by.setdefault(r.conv_id, []).append(model.emission([r[f] for f in chat.FEATURES]))
+    score = lambda e, path: model.start[path[0]] + sum(x[s] for x, s in zip(e, path, strict=True)) + sum(model.step[a, b] for a, b in itertools.pairwise(path))
+    for block in (512, 3):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        got = {}
+        for r in sorted(chat.format_chats(frame).collect(), key=lambda r: (r.conv_id, r.turn, r.seg)):
+            got.setdefault(r.conv_id, []).append(chat.ROLES.index(r.speaker))
+        for c, e in by.items():
+            assert score(e, got[c]) == pytest.approx(max(score(e, p) for p in itertools.product(range(3), repeat=len(e))))
+
+
+def test_toxicity_network_gradients():
+    rng = np.random.default_rng(3)
+    network = toxicity.Network()
+    network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
+    x, mask = rng.normal(size=(5, 4, toxicity.INPUTS)), np.arange(5)[:, None] < np.array([5, 3, 1, 4])
+    x *= mask[..., None]
+    weights = rng.normal(size=4)
+    traces = {}
+    network.forward(x, mask, traces)
+    grads = network.backward(traces, weights)
+    for name, p in network.p.items():
+        for at in list(np.ndindex(p.shape))[:: max(1, p.size // 7)]:
+            was, ends = p[at], []
+            for step in (1e-3, -1e-3):
+                p[at] = was + step
+                ends.append(float(network.forward(x, mask) @ weights))
+            p[at] = was
+            assert (ends[0] - ends[1]) / 2e-3 == pytest.approx(float(np.asarray(grads[name])[at]), rel=0.02, abs=2e-3)
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
