@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import reach
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], as_of) -> DataFrame:
     """Stored rows, overlaid by incoming ones; created_at stays, updated_at and version (plus one) move.
@@ -58,7 +60,9 @@ def soft_delete(nodes: DataFrame, edges: DataFrame, ids: DataFrame, policy: str
     new_nodes = nodes.join(marked, "id", "left").select(*columns, F.coalesce("_hit", "is_deleted").alias("is_deleted"))
     src = marked.select(F.col("id").alias("src"), F.col("_hit").alias("_s"))
     dst = marked.select(F.col("id").alias("dst"), F.col("_hit").alias("_d"))
-    new_edges = edges.join(src, "src", "left").join(dst, "dst", "left").select(*edges.columns, F.coalesce("_s", "_d", F.lit(False)).alias("is_deleted"))
+    new_edges = edges.join(src, "src", "left").join(dst, "dst", "left").select(
+        *(c for c in edges.columns if c != "is_deleted"), F.coalesce("_s", "_d", F.col("is_deleted") if "is_deleted" in edges.columns else F.lit(False), F.lit(False)).alias("is_deleted")
+    )
     return new_nodes, new_edges, report
 
 
@@ -93,3 +97,38 @@ def retry_queue(items: DataFrame, as_of, backoff_minutes: int = 5) -> DataFrame:
     status = F.when(due & (count >= F.col("max_retries")), "abandoned").otherwise(F.col("status"))
     wait = F.timestamp_add("MINUTE", (F.lit(backoff_minutes) * F.pow(F.lit(2), count)).cast("int"), F.lit(as_of))
     return items.select("id", status.alias("status"), count.alias("retry_count"), "max_retries", F.when(due & (count < F.col("max_retries")), wait).otherwise(F.col("next_retry")).alias("next_retry"))
+
+
+def cascade(nodes: DataFrame, edges: DataFrame, ids: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) after a soft delete of ids and of all nodes within so many undirected hops; then of the edges of all these."""
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    hit = reach(both, ids.select("id").distinct(), depth).select(F.col("node").alias("id")).distinct()
+    new_nodes, new_edges, _ = soft_delete(nodes, edges, hit, "ORPHAN")
+    return new_nodes, new_edges
+
+
+def deleted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, n_edges of soft-deleted nodes."""
+    gone = nodes.where(F.coalesce("is_deleted", F.lit(False))).select("id")
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).join(gone, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n_edges"))
+    return gone.join(ends, "id", "left").select("id", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
+
+
+def touch(nodes: DataFrame, ids: DataFrame, as_of) -> DataFrame:
+    """Nodes with updated_at and version (plus one) moved for the ids."""
+    marked = ids.select("id").distinct().withColumn("_hit", F.lit(True))
+    columns = [c for c in nodes.columns if c not in ("updated_at", "version")]
+    hit = F.coalesce("_hit", F.lit(False))
+    return nodes.join(marked, "id", "left").select(*columns, F.when(hit, F.lit(as_of)).otherwise(F.col("updated_at")).alias("updated_at"), (F.coalesce("version", F.lit(0)) + hit.cast("int")).alias("version"))
+
+
+def outdated(vectors: DataFrame, current: str) -> DataFrame:
+    """Rows whose embedding version is missing or another one."""
+    return vectors.where(F.col("version").isNull() | (F.col("version") != current))
+
+
+def migrated(vectors: DataFrame, done: DataFrame, current: str) -> DataFrame:
+    """Vectors after new ones (id, embedding) took the place of the old, with the current version."""
+    new = done.select("id", F.col("embedding").alias("_new"))
+    columns = [c for c in vectors.columns if c not in ("embedding", "version")]
+    return vectors.join(new, "id", "left").select(*columns, F.coalesce("_new", "embedding").alias("embedding"), F.when(F.col("_new").isNotNull(), current).otherwise(F.col("version")).alias("version"))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import reach
+
 
 def contains_ci(column: str, needle: str) -> Column:
     return F.contains(F.lower(F.coalesce(column, F.lit(""))), F.lit(needle.lower()))
@@ -48,10 +50,13 @@ def between(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def two_hops(both: DataFrame, start: DataFrame) -> DataFrame:
-    """start, hop2: nodes two undirected edges away, over two different edges, other than the start."""
-    first = start.select(F.col("id").alias("start")).join(both.select(F.col("a").alias("start"), F.col("b").alias("mid"), F.col("rel_type").alias("r1")), "start")
-    second = both.select(F.col("a").alias("mid"), F.col("b").alias("hop2"), F.col("rel_type").alias("r2"))
-    return first.join(second, "mid").where("hop2 != start").select("start", "hop2").distinct()
+    """start, hop2: nodes two undirected edges away, over two different edges, other than the start.
+
+    Repeated and parallel edges are one before the second hop, so a hub's row is joined once for each start.
+    """
+    links = both.select("a", "b").distinct()
+    first = start.select(F.col("id").alias("a")).distinct().join(links, "a").select(F.col("a").alias("start"), F.col("b").alias("a"))
+    return first.join(links, "a").where("b != start").select("start", F.col("b").alias("hop2")).distinct()
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -99,3 +104,66 @@ def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     best = F.min_by(F.struct(*rest), F.struct(*order)).alias("r")
     return rows.groupBy(*keys).agg(best).select(*keys, *(f"r.{c}" for c in rest))
+
+
+def neighbors(edges: DataFrame, seeds: DataFrame, types: list[str] | None = None, direction: str = "both", hops: int = 1) -> DataFrame:
+    """start, node, distance of all nodes within some hops of the seeds, along edges of some types (all if None), out, in or both ways."""
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"unknown direction {direction}")
+    rows = edges if types is None else edges.where(F.col("rel_type").isin(*types))
+    out, back = rows.select(F.col("src").alias("a"), F.col("dst").alias("b")), rows.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+    both = {"out": out, "in": back, "both": out.unionByName(back)}[direction]
+    return reach(both, seeds, hops).where("distance > 0")
+
+
+def mention_links(mentions: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunk, entity: one row for each chunk that an entity names in its list `chunk_ids`, where both exist."""
+    links = mentions.select(F.col("id").alias("entity"), F.explode("chunk_ids").alias("chunk")).distinct()
+    return links.join(entities.select(F.col("id").alias("entity")), "entity", "left_semi").join(chunks.select(F.col("id").alias("chunk")), "chunk", "left_semi").select("chunk", "entity")
+
+
+def accepted_entities(rows: DataFrame, least: float, types: list[str]) -> DataFrame:
+    """Extracted entities of enough confidence and an allowed type, with a name."""
+    return rows.where((F.col("confidence") >= least) & F.col("type").isin(*types) & (F.trim(F.coalesce("name", F.lit(""))) != ""))
+
+
+def accepted_relations(rows: DataFrame, names: DataFrame, least: float, predicates: list[str]) -> DataFrame:
+    """source_id, target_id, predicate, confidence of extracted relations (source, target, predicate, confidence) of enough confidence
+    and an allowed predicate, whose ends are known by a name or an alias (names: name, id), whatever its case; ties go to the least id."""
+    known = names.groupBy(F.lower(F.trim("name")).alias("norm")).agg(F.min("id").alias("id"))
+    end = lambda c: known.select(F.col("norm").alias(f"{c}_norm"), F.col("id").alias(f"{c}_id"))
+    fit = rows.where((F.col("confidence") >= least) & F.col("predicate").isin(*predicates)).withColumn("source_norm", F.lower(F.trim("source"))).withColumn("target_norm", F.lower(F.trim("target")))
+    return fit.join(end("source"), "source_norm").join(end("target"), "target_norm").select("source_id", "target_id", "predicate", "confidence")
+
+
+def merged_relations(rows: DataFrame) -> DataFrame:
+    """src, dst, rel_type, confidence (the greatest), description (the longest), chunks (all, sorted): one row for each relation."""
+    return rows.groupBy("src", "dst", "rel_type").agg(
+        F.max("confidence").alias("confidence"),
+        F.max_by("description", F.struct(F.length(F.coalesce("description", F.lit(""))), F.col("description"))).alias("description"),
+        F.array_sort(F.collect_set("chunk")).alias("chunks"),
+    )
+
+
+def path_predicates(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """start, end, path, predicates of paths (start, end, path): each hop's least relation type, either way, joined by commas."""
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type"))
+    kind = both.groupBy("a", "b").agg(F.min("rel_type").alias("rel_type"))
+    hop = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i.cast("int")).alias("a"), F.element_at("path", (i + 1).cast("int")).alias("b")))
+    hops = paths.where(F.size("path") > 1).select("start", "end", "path", F.posexplode(hop).alias("at", "hop")).select("start", "end", "path", "at", "hop.a", "hop.b")
+    found = hops.join(kind, ["a", "b"]).groupBy("start", "end", "path").agg(F.array_sort(F.collect_list(F.struct("at", "rel_type"))).alias("found"))
+    return found.select("start", "end", "path", F.array_join(F.transform("found", lambda x: x["rel_type"]), ",").alias("predicates"))
+
+
+def impact(both: DataFrame, seeds: DataFrame, words: list[str]) -> DataFrame:
+    """id, direct (neighbours), indirect (nodes two hops away), dependents (neighbours over a type with one of the words)."""
+    near = both.join(seeds.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("a").alias("id"), F.col("b").alias("node"), any_field_contains_type(words).alias("depends"))
+    first = near.groupBy("id", "node").agg(F.max("depends").alias("depends"))
+    counts = first.groupBy("id").agg(F.count("*").alias("direct"), F.count_if("depends").alias("dependents"))
+    far = first.select("id", F.col("node").alias("a")).join(both.select("a", "b").distinct(), "a").select("id", F.col("b").alias("node")).where("node != id").distinct()
+    far = far.join(first.select("id", "node"), ["id", "node"], "left_anti").groupBy("id").agg(F.count("*").alias("indirect"))
+    return counts.join(far, "id", "left").select("id", "direct", F.coalesce("indirect", F.lit(0)).cast("long").alias("indirect"), "dependents")
+
+
+def any_field_contains_type(words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(F.lower("rel_type"), F.lit(w.lower())) for w in words))

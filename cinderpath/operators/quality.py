@@ -109,3 +109,30 @@ def top_per_group(rows: DataFrame, keys: list[str], value: str, tie: str, k: int
     """
     w = Window.partitionBy(*keys).orderBy(F.desc(value), tie)
     return rows.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= k)
+
+
+def counted(metrics: dict[str, DataFrame]) -> DataFrame:
+    """metric, value: the number of rows of each table, each one aggregation."""
+    out = None
+    for name, rows in metrics.items():
+        part = rows.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def document_checks(documents: DataFrame, most: int = 1_000_000, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """doc_id, fault (empty, too_large or null), chunks and entities to expect of each document."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    blank = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
+    chunks = F.when(blank, 0).otherwise(F.greatest(F.lit(1), F.floor(n / F.lit(size)))).cast("long")
+    return documents.select("doc_id", F.when(blank, "empty").when(n > most, "too_large").alias("fault"), chunks.alias("chunks"), (chunks * 5).alias("entities"))
+
+
+def role_grants(parents: DataFrame, grants: DataFrame, depth: int = 10) -> DataFrame:
+    """role, permission, effect: what each role has by itself and by inheritance (role, parent); a deny beats an allow, from wherever it comes."""
+    from .graph import ancestors
+
+    up = ancestors(parents.select(F.col("role").alias("id"), "parent"), depth).select(F.col("id").alias("role"), F.col("ancestor").alias("owner"))
+    own = grants.select("role", F.col("role").alias("owner")).distinct()
+    rows = up.unionByName(own).distinct().join(grants.withColumnRenamed("role", "owner"), "owner")
+    return rows.groupBy("role", "permission").agg(F.max("effect").alias("effect"))  # 'deny' is after 'allow'

@@ -87,3 +87,48 @@ def lookup(mentions: DataFrame, registry: DataFrame, aliases: DataFrame) -> Data
 def merge_aliases(aliases: DataFrame, source: str, target: str) -> DataFrame:
     """Aliases after an entity was merged into another."""
     return aliases.select(F.when(F.col("id") == source, target).otherwise(F.col("id")).alias("id"), "alias").distinct()
+
+
+def add_aliases(aliases: DataFrame, new: DataFrame) -> DataFrame:
+    """Aliases (id, alias) with new ones, each once whatever its case."""
+    return aliases.unionByName(new).groupBy("id", F.lower(F.trim("alias")).alias("_key")).agg(F.min("alias").alias("alias")).select("id", "alias")
+
+
+def remove_aliases(aliases: DataFrame, gone: DataFrame) -> DataFrame:
+    key = lambda d: d.select("id", F.lower(F.trim("alias")).alias("_key"))
+    return aliases.withColumn("_key", F.lower(F.trim("alias"))).join(key(gone), ["id", "_key"], "left_anti").select("id", "alias")
+
+
+def merge_entities(registry: DataFrame, aliases: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(registry, aliases) after merges (source, target): sources go, and their names and aliases become the target's.
+
+    A target that is a source itself is not followed: merge step by step.
+    """
+    moved = merges.select(F.col("source").alias("id"), "target")
+    names = registry.join(moved, "id").select(F.col("target").alias("id"), F.col("name").alias("alias"))
+    pointed = aliases.join(moved, "id", "left").select(F.coalesce("target", "id").alias("id"), "alias")
+    return registry.join(moved.select("id"), "id", "left_anti"), add_aliases(pointed, names)
+
+
+def registry_search(registry: DataFrame, aliases: DataFrame, word: str) -> DataFrame:
+    """id, name, n_aliases of entities whose name or alias has a word in it, whatever its case."""
+    hit = lambda c: F.contains(F.lower(c), F.lit(word.lower()))
+    ids = registry.where(hit("name")).select("id").unionByName(aliases.where(hit("alias")).select("id")).distinct()
+    counts = aliases.groupBy("id").agg(F.count("*").alias("n_aliases"))
+    return registry.join(ids, "id", "left_semi").join(counts, "id", "left").select("id", "name", F.coalesce("n_aliases", F.lit(0)).cast("long").alias("n_aliases"))
+
+
+def matches(candidates: DataFrame, query: str, least: float = 0.7) -> DataFrame:
+    """id, score of the entities (id, name, description) that a query may mean: 0.95 if one name holds the other, 0.8 if half of
+    the query's words are in the name, the edit similarity from `least` on, 0.7 if the description has the query."""
+    q, name = query.strip().lower(), F.lower(F.trim("name"))
+    words = [w for w in q.split() if w]
+    shared = sum((F.contains(name, F.lit(w)).cast("int") for w in words), F.lit(0))
+    edit = T.edit_similarity("name", F.lit(query))
+    score = (
+        F.when(F.contains(name, F.lit(q)) | F.contains(F.lit(q), name), 0.95)
+        .when(shared * 2 >= len(words), 0.8)
+        .when(edit >= least, edit)
+        .when(F.contains(F.lower(F.coalesce("description", F.lit(""))), F.lit(q)), 0.7)
+    )
+    return candidates.where(name != "").select("id", score.alias("score")).where("score is not null")
