@@ -21,7 +21,7 @@ def cosine(a, b):
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, id, score, pick: the k vectors of the greatest cosine for each query, itself left out.
+    """query_id, id, score, pick: the k vectors of the greatest cosine for each query, itself left out, among those of its length.
 
     Queries are broadcast in blocks of a fixed number. A task keeps k rows a query of each batch, so
     what is shuffled for the last ranking is small.
@@ -32,10 +32,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0,
     out, held = None, []
 
     def one(rows):
-        ids = np.array([r[0] for r in rows], np.int64)
-        shared = spark.sparkContext.broadcast((ids, _unit(np.array([r[1] for r in rows], np.float64))))
-        part = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("v is not null").mapInArrow(_best(shared, k, least), "query_id long, id long, score double")
-        return part
+        """A block's queries against all vectors of their own length."""
+        found = None
+        for width in sorted({len(r[1]) for r in rows}):
+            same = [r for r in rows if len(r[1]) == width]
+            shared = spark.sparkContext.broadcast((np.array([r[0] for r in same], np.int64), _unit(np.array([r[1] for r in same], np.float64).reshape(len(same), width))))
+            part = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.size("v") == width)
+            part = part.mapInArrow(_best(shared, k, least), "query_id long, id long, score double")
+            found = part if found is None else found.unionByName(part)
+        return found
 
     for row in blocks:
         held.append(row)
@@ -59,9 +64,9 @@ def _best(shared, k, least):
         ids, q = shared.value
         for batch in batches:
             own = batch.column(0).to_numpy()
-            x = _unit(np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1))
-            if not len(own) or x.shape[1] != q.shape[1]:
+            if not len(own):
                 continue
+            x = _unit(np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1))
             score = q @ x.T
             score[own[None] == ids[:, None]] = -2
             n = min(k, len(own))

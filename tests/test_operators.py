@@ -104,6 +104,13 @@ def test_resolution_finds_all_similar_pairs(spark, monkeypatch, crowd):
     assert set(got) == want and len(got) == len(want) and ("acme corp intl", "acme corp. intl") in want
 
 
+def test_vector_search_takes_several_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.0, 0.0]), (3, [0.9, 0.1, 0.0]), (4, None), (5, [0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.id) for r in search.nearest(vectors, vectors.where("vec_id in (0, 2, 4)"), 1).collect()}
+    assert got == {(0, 1), (2, 3)}
+
+
 def test_vector_search_blocks(spark, monkeypatch):
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
