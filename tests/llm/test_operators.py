@@ -357,6 +357,22 @@ def test_toxicity_network_gradients():
             assert (ends[0] - ends[1]) / 2e-3 == pytest.approx(float(np.asarray(grads[name])[at]), rel=0.02, abs=2e-3)
 
 
+def test_toxicity_learns_from_texts_of_any_length(spark):
+    """Only long labelled texts: they are used whole, wherever the telling word stands; and the characters are bounded."""
+    filler = "the quiet river runs past a green hill and a small town "
+    rows = [(i, filler * 500 + ("vilex grunx " * 3 if i % 2 else "kind words ") + filler * 200, i % 2) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got) and any(r.held_out for r in got)
+    before = toxicity.CHARS_PER_CLASS
+    try:
+        toxicity.CHARS_PER_CLASS = 1
+        assert toxicity.fit(docs, labels).share == toxicity.fit(docs, labels).share
+    finally:
+        toxicity.CHARS_PER_CLASS = before
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

@@ -39,3 +39,25 @@ def test_stages_take_empty_documents(spark):
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
         docs = docs if "text" in docs.columns else None
+
+
+def test_stages_take_clashing_names_null_ids_and_repeated_rows(spark):
+    names = ["text", "copies", "time", "mixed_id", "id", "component_id", "rate", "key", "bucket", "kept", "n_tokens", "label", "predicted", "row", "col", "start"]
+    rows = [(i, f"clean words about river number {i} and hill {i * 7} near the town of {i % 13} fields") for i in range(60)]
+    rows += [(1, rows[1][1]), (1, rows[1][1]), (None, "a text without an id"), (None, None), (61, None), (62, "")]
+    docs = spark.createDataFrame([(i, t, *(["x"] * (len(names) - 1)), "web") for i, t in rows], ", ".join(["doc_id long", *(f"{n} string" for n in names), "source string"]))
+    last = None
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        got = [r.doc_id for r in out.select("doc_id").collect()]
+        if name in ("toxicity", "near_duplicates", "decontamination"):
+            assert out.columns == docs.columns
+            # Nothing here is toxic, near another text or in the benchmark; equal rows of one id are one document.
+            assert sorted(got, key=str) == sorted((i for i, _ in rows), key=str), name
+            docs = out
+        elif name == "mixing":
+            assert out.columns == docs.columns and got.count(None) == 2
+            docs = out
+        else:
+            last = out
+    assert last.count() == docs.where("doc_id is not null").count()  # files of tokens are ordered by id
