@@ -73,8 +73,11 @@ def gather(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     """(WINDOW, windows, INPUTS), zero beyond a window's end, and the mask of its words."""
     step = np.arange(WINDOW)[:, None]
     mask = step < size
-    padded = np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)])
-    return padded[np.where(mask, start + step, len(x))], mask
+    if not len(x):
+        return np.zeros((*mask.shape, x.shape[1]), x.dtype), mask
+    out = x[np.where(mask, start + step, 0)]
+    out[~mask] = 0
+    return out, mask
 
 
 def _sigmoid(x):
@@ -186,10 +189,13 @@ def train(texts: pa.Array, labels: np.ndarray, share: float, seed: int = 11) ->
     labels = np.asarray(labels, np.int64)
     rng = np.random.default_rng(seed)
     fold = rng.permutation(len(labels)) % FOLDS
-    parts = [(i, j, featurize(d, o)) for i, j, d, o in text_blocks(texts)]
+    # Features of a block are made twice rather than kept.
+    parts = lambda: ((i, j, featurize(d, o)) for i, j, d, o in text_blocks(texts))
+    first = np.zeros(len(labels) + 1, np.int64)
     counts, n = np.zeros((FOLDS, 2, 4, BUCKETS), np.float32), np.zeros((FOLDS, 2), np.float32)
     np.add.at(n, (fold, labels), 1)
-    for i, j, f in parts:
+    for i, j, f in parts():
+        first[i + 1 : j + 1] = first[i] + f.first[1:]
         for row in range(j - i):
             a, b = f.first[row], f.first[row + 1]
             if b > a:
@@ -199,15 +205,11 @@ def train(texts: pa.Array, labels: np.ndarray, share: float, seed: int = 11) ->
                     to[k, np.unique(v)] += 1
     # A text's inputs come from the other folds' counts, so that it doesn't vouch for its own rare words.
     held = [_log_odds(counts.sum(axis=0) - counts[k], n.sum(axis=0) - n[k]) for k in range(FOLDS)]
-    xs, firsts = [], []
-    for i, j, f in parts:
-        each = [inputs(f, odds) for odds in held]
-        for row in range(j - i):
-            a, b = f.first[row], f.first[row + 1]
-            xs.append(each[fold[i + row]][a:b])
-            firsts.append(b - a)
-    x = np.concatenate(xs) if xs else np.zeros((0, INPUTS), np.float32)
-    first = np.concatenate([[0], np.cumsum(firsts)]).astype(np.int64)
+    x = np.zeros((first[-1], INPUTS), np.float32)
+    for i, j, f in parts():
+        of = np.repeat(fold[i:j], np.diff(f.first))
+        for k in range(FOLDS):
+            x[first[i] : first[j]][of == k] = inputs(f, held[k])[of == k]
     text, start, size = windows(first)
     # Each epoch sees every text by its two windows with the strongest inputs and one at random.
     strength = np.concatenate([[0], np.cumsum(x[:, :4].max(axis=1))]) if len(x) else np.zeros(1)
