@@ -67,30 +67,68 @@ def anomalies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return whole.crossJoin(largest).crossJoin(repeated).select(F.explode(F.array_compact(rows)).alias("r")).select("r.kind", "r.value")
 
 
-def latency(groups: GroupedData, column: str) -> DataFrame:
-    """Interpolated percentiles, with the other usual statistics."""
+#: A group's values are ranked in about so many pieces of equal weight, each sorted by itself.
+PIECES = 64
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys that may be null; the keys come out once."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in keys})
+    on = None
+    for c in keys:
+        one = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        on = one if on is None else on & one
+    return left.join(renamed, on).drop(*(f"_r_{c}" for c in keys))
+
+
+def ranked(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """keys, column, upto (rows of the group up to this value), n for each distinct value of each group.
+
+    Equal values are counted first. Each group is cut at approximate quantiles into PIECES; the pieces' sums
+    give each one's place, and only within a piece are values sorted, so no group is sorted in one task.
+    """
+    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("c"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(column, [i / PIECES for i in range(1, PIECES)], 10 * PIECES).alias("cuts"))
+    value = F.col(column)
+    pieces = _same(counts, cuts, keys).withColumn("piece", F.coalesce(F.size(F.filter("cuts", lambda x: x < value)), F.lit(0))).drop("cuts")
+    sums = pieces.groupBy(*keys, "piece").agg(F.sum("c").alias("s"))
+    w = Window.partitionBy(*keys)
+    places = sums.select(*keys, "piece", (F.sum("s").over(w.orderBy("piece")) - F.col("s")).alias("before"), F.sum("s").over(w).alias("n"))
+    inner = Window.partitionBy(*keys, "piece").orderBy(column)
+    return _same(pieces, places, [*keys, "piece"]).select(*keys, column, (F.col("before") + F.sum("c").over(inner)).alias("upto"), "n")
+
+
+def latency(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Interpolated percentiles, with the other usual statistics; null values count in n alone."""
     c = F.col(column)
-    return groups.agg(
+    percents = (50, 75, 90, 95, 99)
+    plain = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.round(F.min(c), 6).alias("low"), F.round(F.max(c), 6).alias("high"), F.round(F.avg(c), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(c), F.lit(0.0)), 6).alias("spread"),
-        *(F.round(F.percentile(c, F.lit(p / 100)), 6).alias(f"p{p}") for p in (50, 75, 90, 95, 99)),
     )
+    at = lambda p: (F.col("n") - 1) * (p / 100)
+    ends = [F.min(F.when(F.col("upto") > f(at(p)), c)).alias(f"{name}{p}") for p in percents for name, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = ranked(rows.where(c.isNotNull()), keys, column).groupBy(*keys).agg(F.max("n").alias("n"), *ends)
+    part = lambda p: F.col(f"lo{p}") + (F.col(f"hi{p}") - F.col(f"lo{p}")) * (at(p) - F.floor(at(p)))
+    found = found.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(F.round(part(p), 6).alias(f"p{p}") for p in percents))
+    on = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        on = one if on is None else on & one
+    return plain.join(found, on, "left").drop(*(f"_r_{k}" for k in keys))
 
 
 def index_percentiles(rows: DataFrame, keys: list[str], column: str, percents: tuple[int, ...], gates: tuple[int, ...] = ()) -> DataFrame:
-    """sorted[int(n * p)] of each group, from counts of distinct values: no group is collected.
+    """sorted[int(n * p)] of each group, from counts of distinct values: no group is collected or sorted whole.
 
     A group of fewer values than a percentile's gate has its maximum.
     """
-    counts = rows.groupBy(*keys, column).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    ranked = counts.select(*keys, column, (F.sum("c").over(w.orderBy(column))).alias("upto"), F.sum("c").over(w).alias("n"))
     out = []
     for i, p in enumerate(percents):
         at = F.least(F.col("n") - 1, F.floor(F.col("n") * (p / 100)))
         if gates:
             at = F.when(F.col("n") < gates[i], F.col("n") - 1).otherwise(at)
         out.append(F.min(F.when(F.col("upto") > at, F.col(column))).alias(f"p{p}"))
-    found = ranked.groupBy(*keys).agg(F.max("n").alias("n"), *out)
+    found = ranked(rows, keys, column).groupBy(*keys).agg(F.max("n").alias("n"), *out)
     return found if gates else found.drop("n")
 
 

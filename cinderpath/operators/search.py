@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .quality import top_per_group
 
-#: Queries of one broadcast block: 512 of 1,024 doubles are 4 MB. More queries run in more blocks.
-BLOCK_QUERIES = 512
+#: Doubles of one broadcast block of queries: 32 MB. More queries run in more blocks, each a scan of the vectors.
+BLOCK_VALUES = 1 << 22
+#: Queries that meet a batch of vectors in one matrix product.
+STEP_QUERIES = 1024
 
 
 def cosine(a, b):
@@ -23,8 +25,8 @@ def cosine(a, b):
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, id, score, pick: the k vectors of the greatest cosine for each query, itself left out, among those of its length.
 
-    Queries are broadcast in blocks of a fixed number. A task keeps k rows a query of each batch, so
-    what is shuffled for the last ranking is small.
+    Queries are broadcast in blocks of a fixed size. A task keeps the best k rows a query of all that it
+    reads, so what is shuffled for the last ranking is k rows a query and task.
     """
     spark = vectors.sparkSession
     asked = queries.select(F.col(id_col).cast("long"), vector_col).where(F.col(vector_col).isNotNull()).orderBy(id_col)
@@ -42,10 +44,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0,
             found = part if found is None else found.unionByName(part)
         return found
 
+    size = 0
     for row in blocks:
         held.append(row)
-        if len(held) == BLOCK_QUERIES:
-            part, held = one(held), []
+        size += len(row[1])
+        if size >= BLOCK_VALUES:
+            part, held, size = one(held), [], 0
             out = part if out is None else out.unionByName(part)
     if held or out is None:
         part = one(held) if held else spark.createDataFrame([], "query_id long, id long, score double")
@@ -60,19 +64,38 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _best(shared, k, least):
+    def best_of(parts):
+        """Of (query, id, score) the k of each query with the greatest scores, ties by id."""
+        query, own, score = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((own, -score, query))
+        query, own, score = query[order], own[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
+        return query[keep], own[keep], score[keep]
+
     def run(batches):
         ids, q = shared.value
+        held, size = [], 0
         for batch in batches:
             own = batch.column(0).to_numpy()
             if not len(own):
                 continue
             x = _unit(np.array(batch.column(1).to_pylist(), np.float64).reshape(len(own), -1))
-            score = q @ x.T
-            score[own[None] == ids[:, None]] = -2
             n = min(k, len(own))
-            bound = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
-            i, j = np.nonzero((score >= bound) & (score >= least))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(score[i, j])], ["query_id", "id", "score"])
+            for at in range(0, len(ids), STEP_QUERIES):
+                asked = ids[at : at + STEP_QUERIES]
+                score = q[at : at + STEP_QUERIES] @ x.T
+                score[own[None] == asked[:, None]] = -2
+                bound = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
+                i, j = np.nonzero((score >= bound) & (score >= least))
+                held.append((asked[i], own[j], score[i, j]))
+                size += len(i)
+                if size > max(1 << 20, 4 * k * len(ids)):
+                    held = [best_of(held)]
+                    size = len(held[0][0])
+        if held:
+            query, own, score = best_of(held)
+            for at in range(0, len(query), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (query, own, score)], ["query_id", "id", "score"])
 
     return run
 

@@ -126,7 +126,7 @@ _LATENCY = "SELECT event_type, count(*) AS n, round(min(value), 6) AS low, round
 
 @query(_LATENCY + "".join(f", round(quantile_cont(value, {p / 100}), 6) AS p{p}" for p in (50, 75, 90, 95, 99)) + " FROM events GROUP BY event_type")
 def latency_stats(spark, sf_dir):
-    return Q.latency(table(spark, sf_dir, "events").groupBy("event_type"), "value")
+    return Q.latency(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @query(

@@ -270,17 +270,16 @@ def ids_difference(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key")).distinct().join(rich, "key", "left_anti")
 
 
-@query("SELECT c_name AS name FROM customer WHERE c_custkey < 500 UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part")
+@query("SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part")
 def distinct_names(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").where("c_custkey < 500").select(F.col("c_name").alias("name"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
     return names.union(table(spark, sf_dir, "supplier").select("s_name")).union(table(spark, sf_dir, "part").select("p_name")).distinct()
 
 
-@query("SELECT c_name AS name FROM customer UNION SELECT s_name FROM supplier UNION SELECT p_name FROM part")
+@query(GRAPH + "SELECT name FROM entities UNION SELECT n_name FROM nation")
 def all_distinct_names(spark, sf_dir):
-    """Names of all customers, suppliers and parts; distinct_names has customers of small ids alone."""
-    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
-    return names.union(table(spark, sf_dir, "supplier").select("s_name")).union(table(spark, sf_dir, "part").select("p_name")).distinct()
+    """Names of all entities, places too; distinct_names has customers, suppliers and parts."""
+    return entities(spark, sf_dir).select("name").union(table(spark, sf_dir, "nation").select("n_name")).distinct()
 
 
 @query(

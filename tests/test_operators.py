@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinderpath.functions import text as T
-from cinderpath.operators import graph, lifecycle, ontology, resolve, search
+from cinderpath.operators import graph, lifecycle, ontology, quality, resolve, search
 from cinderpath.sources import backup, loaders
 from cinderpath.streaming import state
 
@@ -115,7 +115,7 @@ def test_vector_search_blocks(spark, monkeypatch):
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     whole = {tuple(r) for r in search.nearest(vectors, vectors.where("vec_id < 9"), 4).collect()}
-    monkeypatch.setattr(search, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(search, "BLOCK_VALUES", 6)
     assert {tuple(r) for r in search.nearest(vectors, vectors.where("vec_id < 9"), 4).collect()} == whole and len(whole) == 36
 
 
@@ -183,3 +183,40 @@ def test_alert_cooldown(spark):
     rows = [(at + datetime.timedelta(minutes=m), r, 1.0) for r, m in [("a", 0), ("a", 10), ("a", 31), ("b", 10), ("a", 50)]]
     got = state.cooled(spark.createDataFrame(rows, "start timestamp, rule string, value double"), 1800).collect()
     assert sorted((r.rule, r.start.minute) for r in got) == [("a", 0), ("a", 31), ("b", 10)]
+
+
+def test_percentiles_by_pieces(spark):
+    """Against sorting: a large group, one value alone, a hot value, a null key."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"big": rng.normal(size=3000), "one": np.array([4.5]), "hot": np.concatenate([np.full(900, 1.0), rng.normal(size=50)]), None: rng.integers(0, 9, 40).astype(float)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    got = {r.k: r for r in quality.latency(rows, ["k"], "v").collect()}
+    cut = {r.k: r for r in quality.index_percentiles(rows, ["k"], "v", (50, 99)).collect()}
+    assert set(got) == set(cut) == set(groups)
+    for k, vs in groups.items():
+        for p in (50, 75, 90, 95, 99):
+            assert got[k][f"p{p}"] == pytest.approx(np.percentile(vs, p), abs=2e-6)
+        for p in (50, 99):
+            assert cut[k][f"p{p}"] == np.sort(vs)[min(len(vs) - 1, int(len(vs) * p / 100))]
+
+
+def test_nearest_keeps_the_best_of_all_batches(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(5).integers(-2, 3, (300, 4)).astype(float)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    with np.errstate(all="ignore"):
+        unit = np.nan_to_num(x / np.linalg.norm(x, axis=1, keepdims=True))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    monkeypatch.setattr(search, "BLOCK_VALUES", 40)
+    try:
+        got = search.nearest(vectors, vectors.where("vec_id % 10 = 0"), 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q in range(0, 300, 10):
+        scores = unit @ unit[q]
+        scores[q] = -3
+        mine = [r.score for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.pick)]
+        assert np.allclose(mine, np.sort(scores)[::-1][:5])
