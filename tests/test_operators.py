@@ -220,3 +220,35 @@ def test_nearest_keeps_the_best_of_all_batches(spark, monkeypatch):
         scores[q] = -3
         mine = [r.score for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.pick)]
         assert np.allclose(mine, np.sort(scores)[::-1][:5])
+
+
+def test_text_search_is_the_same_in_blocks(spark, monkeypatch):
+    import math
+    import random
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice("red green blue Iron salt-sea x9".split()) for _ in range(rng.randrange(9)))) for i in range(80)] + [(80, None), (81, ""), (82, "iron Iron")]
+    asked = [(0, "iron SALT"), (1, "x9"), (2, None), (3, "nothing known"), (4, "red red green sea")]
+    documents, queries = spark.createDataFrame(docs, "id long, text string").repartition(3), spark.createDataFrame(asked, "query_id long, text string")
+    words = lambda t: [w for w in __import__("re").split("[^a-z0-9]+", (t or "").lower()) if w]
+    lists = {i: words(t) for i, t in docs}
+    mean = sum(map(len, lists.values())) / len(lists)
+    want = {}
+    for q, t in asked:
+        scores = []
+        for i, ws in lists.items():
+            total = 0.0
+            for w in set(words(t)):
+                df, tf = sum(w in x for x in lists.values()), ws.count(w)
+                total += math.log(1 + (len(lists) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+            if total:
+                scores.append((-round(total, 6), i))
+        want[q] = sorted(scores)[:6]
+    for terms in (200_000, 1):
+        monkeypatch.setattr(search, "BLOCK_TERMS", terms)
+        got = {q: [] for q, _ in asked}
+        for r in search.bm25(documents, queries, 6).orderBy("query_id", "pick").collect():
+            got[r.query_id].append((-round(r.score, 6), r.id))
+        assert got == want
+    assert search.bm25(documents.where("false"), queries, 6).count() == 0
+    assert search.bm25(documents, queries.where("false"), 6).count() == 0
