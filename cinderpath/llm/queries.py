@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_extract, lattice, licenses, minhash, mixing, substrings, token_output, toxicity
+from . import bpe, chat, decontaminate, html_extract, lattice, licenses, minhash, mixing, phrases, ranked, substrings, token_output, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,23 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate_substrings(_read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents for each benchmark item; see ranked.search for nulls, ties and repeated rows."""
+    return ranked.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; see bpe.encode for nulls and repeated rows."""
+    import public_tokenizers
+
+    return bpe.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of every language of all documents; see phrases.collocations for nulls, ties and repeated rows."""
+    return phrases.collocations(_read(spark, sf_dir, "documents"), least=10, share=50, top=2000)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_html_extraction": op2_html_extraction,
@@ -64,8 +81,13 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_ranked_lexical_search": op11_ranked_lexical_search,
+    "op12_bpe_encoding": op12_bpe_encoding,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": licenses.oracle_sql(),
+    "op11_ranked_lexical_search": ranked.oracle_sql(),
+    "op13_phrase_collocations": phrases.oracle_sql(),
 }
