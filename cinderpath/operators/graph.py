@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and read it back; only where that is unset, a local one is set."""
+    """Write df to the folder of spark.checkpoint.dir and read it back. Where that is unset, a local folder serves a local master; a cluster must name one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "cinderpath-graph"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "cinderpath-graph"))
     return df.checkpoint()
 
 
@@ -92,21 +95,25 @@ def components(both: DataFrame, nodes: DataFrame) -> DataFrame:
             return label
 
 
-def ancestors(parents: DataFrame, depth: int = 10) -> DataFrame:
-    """id, ancestor, distance: the closure of (id, parent); a cycle ends at the depth."""
-    up = parents.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    out, front = up, up
-    for d in range(2, depth + 1):
-        front = front.join(parents.where("parent is not null").select(F.col("id").alias("ancestor"), "parent"), "ancestor").select("id", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
-        front = cut(front)
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out.groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+def ancestors(parents: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, ancestor, distance (the least): the closure of (id, parent), to the end or to a depth.
+
+    Each round joins only the pairs that the last one found, and keeps those not seen before, so that cycles end; what
+    lies on a cycle is its own ancestor. Null ids and parents have none.
+    """
+    links = parents.where("id is not null and parent is not null").select("id", "parent").distinct()
+    front = seen = cut(links.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
+    d = 1
+    while d != depth and not front.isEmpty():
+        d += 1
+        up = front.select(F.col("id").alias("start"), F.col("ancestor").alias("id")).join(links, "id").select(F.col("start").alias("id"), F.col("parent").alias("ancestor")).distinct()
+        front = cut(up.join(seen, ["id", "ancestor"], "left_anti").withColumn("distance", F.lit(d)))
+        seen = seen.unionByName(front)
+    return seen
 
 
-def hierarchy_faults(parents: DataFrame, depth: int = 10) -> DataFrame:
+def hierarchy_faults(parents: DataFrame) -> DataFrame:
     """id, fault: rows with an undefined parent, and rows that are their own ancestor."""
     known = parents.select(F.col("id").alias("parent"))
     undefined = parents.where("parent is not null").join(known, "parent", "left_anti").select("id", F.lit("undefined_parent").alias("fault"))
-    return undefined.unionByName(ancestors(parents, depth).where("id = ancestor").select("id", F.lit("cycle").alias("fault")))
+    return undefined.unionByName(ancestors(parents).where("id = ancestor").select("id", F.lit("cycle").alias("fault")))

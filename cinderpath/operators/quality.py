@@ -166,11 +166,11 @@ def document_checks(documents: DataFrame, most: int = 1_000_000, size: int = 100
     return documents.select("doc_id", F.when(blank, "empty").when(n > most, "too_large").alias("fault"), chunks.alias("chunks"), (chunks * 5).alias("entities"))
 
 
-def role_grants(parents: DataFrame, grants: DataFrame, depth: int = 10) -> DataFrame:
+def role_grants(parents: DataFrame, grants: DataFrame) -> DataFrame:
     """role, permission, effect: what each role has by itself and by inheritance (role, parent); a deny beats an allow, from wherever it comes."""
     from .graph import ancestors
 
-    up = ancestors(parents.select(F.col("role").alias("id"), "parent"), depth).select(F.col("id").alias("role"), F.col("ancestor").alias("owner"))
+    up = ancestors(parents.select(F.col("role").alias("id"), "parent")).select(F.col("id").alias("role"), F.col("ancestor").alias("owner"))
     own = grants.select("role", F.col("role").alias("owner")).distinct()
     rows = up.unionByName(own).distinct().join(grants.withColumnRenamed("role", "owner"), "owner")
     return rows.groupBy("role", "permission").agg(F.max("effect").alias("effect"))  # 'deny' is after 'allow'

@@ -266,7 +266,7 @@ def document_checks(spark, sf_dir):
 
 @query(
     "WITH RECURSIVE h AS (SELECT p_partkey AS role, p_partkey // 4 AS parent FROM part), g AS (SELECT p_partkey AS role, p_brand AS permission, CASE WHEN p_size % 9 = 0 THEN 'deny' ELSE 'allow' END AS effect FROM part), "
-    "u(role, owner, d) AS (SELECT role, role, 0 FROM h UNION ALL SELECT u.role, h.parent, d + 1 FROM u JOIN h ON h.role = u.owner WHERE d < 10) SELECT u.role, permission, max(effect) AS effect FROM u JOIN g ON g.role = u.owner GROUP BY u.role, permission"
+    "u(role, owner) AS (SELECT role, role FROM h UNION SELECT u.role, h.parent FROM u JOIN h ON h.role = u.owner) SELECT u.role, permission, max(effect) AS effect FROM u JOIN g ON g.role = u.owner GROUP BY u.role, permission"
 )
 def role_grants(spark, sf_dir):
     part = table(spark, sf_dir, "part")

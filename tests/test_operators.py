@@ -252,3 +252,32 @@ def test_text_search_is_the_same_in_blocks(spark, monkeypatch):
         assert got == want
     assert search.bm25(documents.where("false"), queries, 6).count() == 0
     assert search.bm25(documents, queries.where("false"), 6).count() == 0
+
+
+def test_ancestors_go_on_to_the_end_and_cycles_end(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "id int, parent int")
+    assert {tuple(r) for r in graph.ancestors(chain).collect()} == {(i, j, i - j) for i in range(40) for j in range(i)}
+    assert graph.ancestors(chain, 2).count() == 39 + 38
+    ring = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (5, 0), (None, 3), (5, 0)], "id int, parent int")
+    assert {tuple(r) for r in graph.ancestors(ring).collect()} == {(a, b, (b - a - 1) % 3 + 1) for a in range(3) for b in range(3)} | {(5, 0, 1), (5, 1, 2), (5, 2, 3)}
+
+
+def test_a_deny_at_the_root_of_a_long_chain_reaches_every_role(spark):
+    parents = spark.createDataFrame([(i, i - 1 if i else None) for i in range(15)], "role int, parent int")
+    grants = spark.createDataFrame([(0, "x", "deny")] + [(i, "x", "allow") for i in range(1, 15)], "role int, permission string, effect string")
+    assert {r.role: r.effect for r in quality.role_grants(parents, grants).collect()} == dict.fromkeys(range(15), "deny")
+
+
+def test_a_cluster_must_name_a_shared_checkpoint_folder(monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        graph.cut(type("Frame", (), {"sparkSession": Session()})())

@@ -45,7 +45,7 @@ def test_reach_over_all_edges(spark):
 def test_names_and_members_are_whole(spark):
     data = "/root/testdata/sf0.01"
     rows = lambda t: {r[0] for r in spark.read.parquet(f"{data}/{t[0]}.parquet").select(t[1]).collect()}
-    want = set().union(*map(rows, [("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name")]))
+    want = set().union(*map(rows, [("region", "r_name"), ("nation", "n_name"), ("customer", "c_name"), ("supplier", "s_name"), ("part", "p_name")]))
     assert {r.name for r in plans.QUERIES["all_distinct_names"](spark, data).collect()} == want
     members = [r.member for r in plans.QUERIES["all_community_members"](spark, data).collect()]
     assert sorted(members) == sorted([f"C:{i}" for i in rows(("customer", "c_custkey"))] + [f"S:{i}" for i in rows(("supplier", "s_suppkey"))])
