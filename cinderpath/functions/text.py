@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,36 +52,63 @@ def string_similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(is_korean(a) | is_korean(b), ngram_similarity(a, b)).otherwise(edit_similarity(a, b))
 
 
-def _jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(len(a), len(b)) // 2 - 1
-    taken = [False] * len(b)
-    mine = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == ch:
-                taken[j] = True
-                mine.append(ch)
-                break
-    m = len(mine)
-    if not m:
-        return 0.0
-    other = [ch for ch, t in zip(b, taken, strict=True) if t]
-    half = sum(x != y for x, y in zip(mine, other, strict=True)) / 2
-    jaro = (m / len(a) + m / len(b) + (m - half) / m) / 3
-    same = 0
-    while same < min(4, len(a), len(b)) and a[same] == b[same]:
-        same += 1
-    return jaro + same * 0.1 * (1 - jaro)
+#: Characters of pairs that are compared together.
+_PAIR_CHARS = 1 << 20
+
+
+def _codes(texts: list[str], fill: int) -> np.ndarray:
+    out = np.full((len(texts), max(map(len, texts))), fill, np.int32)
+    for i, t in enumerate(texts):
+        out[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<i4")
+    return out
+
+
+def jaro_winkler_pairs(a: list[str], b: list[str]) -> np.ndarray:
+    """Jaro-Winkler similarity of pairs of texts, all pairs at once for each character of the longest."""
+    out = np.zeros(len(a))
+    length = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    order = np.argsort(length, kind="stable")
+    at = 0
+    while at < len(order):
+        end = min(len(order), at + max(1, int(_PAIR_CHARS // max(1, length[order[at]]))))
+        while end > at + 1 and length[order[end - 1]] * (end - at) > _PAIR_CHARS:
+            end = at + (end - at) // 2
+        rows, at = order[at:end], end
+        x, y = (_codes([t[i] for i in rows], fill) for t, fill in ((a, -1), (b, -2)))
+        if not x.shape[1] or not y.shape[1]:
+            out[rows] = [float(a[i] == b[i]) for i in rows]
+            continue
+        n, m = (np.array([len(t[i]) for i in rows]) for t in (a, b))
+        reach = np.maximum(0, np.maximum(n, m) // 2 - 1)[:, None]
+        place, every = np.arange(y.shape[1])[None], np.arange(len(rows))
+        taken, mine = np.zeros(y.shape, bool), np.zeros(x.shape, bool)
+        for i in range(x.shape[1]):
+            fits = (y == x[:, i : i + 1]) & ~taken & (place >= i - reach) & (place <= i + reach)
+            first = fits.argmax(axis=1)
+            hit = fits[every, first]
+            taken[every[hit], first[hit]] = True
+            mine[hit, i] = True
+        count = mine.sum(axis=1)
+        width = min(x.shape[1], y.shape[1])
+        left, right = (np.take_along_axis(t, np.argsort(~used, axis=1, kind="stable"), axis=1)[:, :width] for t, used in ((x, mine), (y, taken)))
+        swapped = ((left != right) & (np.arange(width)[None] < count[:, None])).sum(axis=1)
+        safe = np.maximum(1, count)
+        jaro = np.where(count > 0, (count / np.maximum(1, n) + count / np.maximum(1, m) + (count - swapped / 2) / safe) / 3, 0.0)
+        four = min(4, width)
+        same = np.cumprod(x[:, :four] == y[:, :four], axis=1).sum(axis=1)
+        score = jaro + same * 0.1 * (1 - jaro)
+        equal = np.array([a[i] == b[i] for i in rows])
+        out[rows] = np.where(equal, 1.0, score)
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity of prefixes up to four letters, without a threshold for the boost; null gives null."""
-    return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Jaro-Winkler similarity with prefixes of up to four letters, without a threshold for the boost; null gives null."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[known] = jaro_winkler_pairs(a[known].tolist(), b[known].tolist())
+    return pd.Series(out, dtype="float64").where(known, None)
 
 
 def entity_id(kind: Column | str, name: Column | str) -> Column:
