@@ -19,9 +19,10 @@ from .common import _LOWER, _U, ALNUM, prefix_hash, span_hash, text_blocks, tune
 
 #: Buckets of each hashed feature; words a window and the step to the next; units a direction; inputs a word.
 BUCKETS, WINDOW, STEP, UNITS, INPUTS = 1 << 16, 64, 32, 8, 5
-#: The classifier is fitted on at most so many labelled rows of each class, whole texts of any length, as long as those
-#: before them in the order of their hashes have fewer characters than this together.
-ROWS_PER_CLASS, CHARS_PER_CLASS = 2000, 8_000_000
+#: The classifier is fitted on at most so many labelled ids of each class, as long as those before them in the order of
+#: their hashes have fewer characters than this together. An id whose texts have more than CHARS_PER_ID characters is left
+#: out of the fit, so that the driver holds CHARS_PER_CLASS + CHARS_PER_ID characters of a class at most; it is scored as any other.
+ROWS_PER_CLASS, CHARS_PER_CLASS, CHARS_PER_ID = 2000, 8_000_000, 1_000_000
 FOLDS, EPOCHS, BATCH, RATE, PRIOR = 5, 8, 64, 0.02, 0.4
 
 
@@ -260,8 +261,8 @@ def held_out(id_col: str):
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Train on ROWS_PER_CLASS labelled rows of each class at most, none of them held out.
 
-    Rows are chosen by a hash, from labels that are 0 or 1, whatever the length of their texts; a class's rows end
-    with the one that brings them to CHARS_PER_CLASS characters, so what the driver holds is bounded.
+    Ids are chosen by a hash, from labels that are 0 or 1 and texts of CHARS_PER_ID characters at most; a class's ids
+    end with the one that brings them to CHARS_PER_CLASS characters, so what the driver holds is bounded.
     Without labelled rows of both classes the score is the share of class 1 (0.0 without labels).
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -273,7 +274,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         chosen = part if chosen is None else chosen.unionByName(part)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     # The broadcast sides have at most 2 * ROWS_PER_CLASS rows of a few numbers (repeated ids: one row each).
-    sizes = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n"))
+    sizes = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n")).where(F.col("n") <= CHARS_PER_ID)
     before = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")) - F.col("n")
     used = sizes.withColumn("before", before).where(F.col("before") < CHARS_PER_CLASS).select("doc_id", "label")
     rows = docs.join(F.broadcast(used), "doc_id").select("doc_id", "text", "label").toArrow()
