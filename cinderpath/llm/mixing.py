@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, tune
+from .common import drop, save, tune
 
 #: Buckets of hashed words, and words after which evidence from a document doesn't grow: posteriors stay soft.
 BUCKETS, EVIDENCE = 2048, 20
@@ -21,11 +21,9 @@ BUCKETS, EVIDENCE = 2048, 20
 #: on all of them if there are fewer. Their ids (under a megabyte, and 8 kB a domain) are broadcast, so that no text is
 #: shuffled; domains, priors, scoring and all sums cover every document.
 SAMPLE, EACH = 50_000, 1000
-#: Steps of rates(), of which so many run between written tables; its pull of rates towards one.
-STEPS, WRITTEN, PULL = 20, 5, 0.05
-#: balance() goes on until each domain's share is so near its target, relatively and absolutely; its pull, a domain's share
-#: being the unit; and after so many steps, or where targets are out of reach, it warns.
-NEAR, LEAST, SLIGHT, MANY = 1e-3, 1e-5, 1e-6, 1000
+#: balance() goes on until each domain's share is so near its target, relatively and absolutely, for so many steps at most;
+#: rates are written every so many; a step halved below this length ends it.
+NEAR, LEAST, MANY, WRITTEN, SHORTEST = 1e-3, 1e-5, 100, 6, 1e-4
 OTHER = "other"
 
 
@@ -86,102 +84,68 @@ def posteriors(documents: DataFrame, labels: DataFrame, domain_col: str = "sourc
     return domains, save(shifted.select("doc_id", "n_tokens", *((F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(len(domains)))))
 
 
-def rates(table: DataFrame, k: int, targets: list[float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, rate: so many steps of distributed projected gradient over (doc_id, n_tokens, p0, ...), whatever the error.
+def _moved(rate, parts, move: np.ndarray):
+    """Rates after a step of projected gradient: each goes by its posteriors' product with the move, and not below zero."""
+    return F.greatest(F.lit(0.0), rate + _total([parts[i] * float(move[i]) for i in range(len(move))]))
 
-    mix() takes balance(), which goes on until the targets are met.
 
-    Minimised is half the squared distance of the domains' shares of expected tokens from the targets, and
-    PULL / 2 times the mean, over tokens, of (rate - 1) squared. Each step is one aggregation to k sums; the
-    gradient of a rate, over the document's share of tokens, is the posterior's product with the k errors.
-    """
-    sums = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), *(F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(k))).first()
-    total = float(sums["n"]) or 1.0
-    have = [float(sums[f"s{i}"]) / total for i in range(k)]
-    if targets is None:  # a flattened mixture: shares to the power 0.7
-        flat = [h**0.7 for h in have]
-        targets = [f / (sum(flat) or 1.0) for f in flat]
-    state = table.withColumn("rate", F.lit(1.0))
-    size = 1.0 / (1.0 + PULL)
-    for step in range(STEPS):
-        if step:
-            got = state.agg(*(F.coalesce(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p{i}")), F.lit(0.0)).alias(f"s{i}") for i in range(k))).first()
-            have = [float(got[f"s{i}"]) / total for i in range(k)]
-        slope = sum((F.col(f"p{i}") * (have[i] - targets[i]) for i in range(k)), F.lit(0.0))
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - size * (slope + PULL * (F.col("rate") - 1.0))))
-        if step % WRITTEN == WRITTEN - 1:
-            state = save(state)
-    return state.select("doc_id", "n_tokens", "rate")
+def _moments(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (n_tokens, p0, ..., rate): the domains' expected tokens, and the second moments of the posteriors of tokens with a rate above zero.
 
+    One aggregation to k rows; a row for each domain lets hundreds of domains be k columns, not k squared.
+    """
+    each = rows.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"p{i}").alias("p")) for i in range(k)))).alias("d"))
+    tokens = F.col("n_tokens") * F.col("d.p")
+    live = F.when(F.col("rate") > 0, tokens).otherwise(0.0)
+    got = each.groupBy("d.i").agg(F.sum(tokens * F.col("rate")).alias("s"), *(F.sum(live * F.col(f"p{j}")).alias(f"m{j}") for j in range(k))).collect()
+    sums, second = np.zeros(k), np.zeros((k, k))
+    for r in got:
+        sums[r["i"]], second[r["i"]] = r["s"], [r[f"m{j}"] for j in range(k)]
+    return sums, second
 
-def solve(sums, k: int, targets: list[float] | None = None) -> np.ndarray:
-    """The k pulls of the domains: a document's rate is one plus its posteriors' product with them, and not below zero.
 
-    sums(pulls) gives tokens, tokens times squared rates, and the k domains' expected tokens. Of all rates that meet the
-    targets these are the nearest to one (the dual of that problem). The gradient of a pull is the domain's error; the first step is
-    scaled by the domain's own share, later ones by what the errors' changes tell of the curvature (BFGS). Errors
-    below NEAR of a target plus LEAST end it; targets out of reach end near the closest reachable ones, with a warning.
+def balance(table: DataFrame, k: int, targets: list[float] | None = None) -> DataFrame:
+    """doc_id, n_tokens, rate: nonnegative rates whose expected tokens meet the domains' targets, by distributed projected-gradient least squares.
+
+    Over (doc_id, n_tokens, p0, ...). From rates of one, each step takes the squared distance of the domains' shares from
+    the targets down its gradient over the documents' rates, which is the posteriors' product with the k errors, and
+    projects at zero. The errors are scaled by the inverse second moments of the posteriors where rates aren't zero: with
+    no rate at zero one step ends it, with the rates nearest to one. A step that doesn't bring the shares nearer is halved.
+    It ends with each share within NEAR of its target plus LEAST; targets out of reach end where no step helps, with a
+    warning. A step is one aggregation; every WRITTEN steps the rates are written, so that plans stay short.
     """
-    pulls = np.zeros(k)
-    n, square, got = sums(pulls)
+    state = table.withColumn("rate", F.lit(1.0))
+    parts = [F.col(f"p{i}") for i in range(k)]
+    sums, second = _moments(state, k)
+    n = float(sums.sum())  # the posteriors of a document sum to one
     if not n:
-        return pulls
-    share = np.array(got, float) / n
-    if targets is None:  # a flattened mixture: shares to the power 0.7
-        targets = share**0.7 / (share**0.7).sum()
-    aim = np.array(targets, float)
-    unit = np.maximum(share, 1e-12)
+        return state.select("doc_id", "n_tokens", "rate")
+    share = sums / n
+    aim = share**0.7 / (share**0.7).sum() if targets is None else np.array(targets, float)
     near = NEAR * aim + LEAST
-
-    def value(square, have, pulls):
-        return square / n / 2 - aim @ pulls + SLIGHT / 2 * (unit * pulls) @ pulls, have - aim + SLIGHT * unit * pulls
-
-    have = share
-    height, slope = value(square, have, pulls)
-    scale = np.diag(1 / unit)
-    for _ in range(MANY):
-        if (np.abs(have - aim) <= near).all() or (np.abs(slope) <= near / 10).all():
-            break
-        move = -scale @ slope
-        if slope @ move >= 0:
-            scale = np.diag(1 / unit)
-            move = -scale @ slope
-        length = 1.0
+    error, steps = share - aim, 0
+    written = None
+    while (np.abs(error) > near).any() and steps < MANY:
+        move, length = -np.linalg.pinv(second / n, rcond=1e-10, hermitian=True) @ error, 1.0
         while True:
-            there = pulls + length * move
-            _, square, got = sums(there)
-            new = np.array(got, float) / n
-            new_height, new_slope = value(square, new, there)
-            if new_height <= height + 1e-4 * length * (slope @ move) + 1e-13 or length < 1e-9:
+            steps += 1
+            tried = state.withColumn("rate", _moved(F.col("rate"), parts, length * move))
+            sums, second_ = _moments(tried, k)
+            if (((sums / n - aim) / near) ** 2).sum() < ((error / near) ** 2).sum() or length < SHORTEST:
                 break
             length /= 2
-        went, bent = there - pulls, new_slope - slope
-        pulls, have, height, slope = there, new, new_height, new_slope
-        if went @ bent > 0:
-            turn = np.eye(k) - np.outer(went, bent) / (went @ bent)
-            scale = turn @ scale @ turn.T + np.outer(went, went) / (went @ bent)
-    if (np.abs(have - aim) > near).any():
-        worst = int(np.argmax(np.abs(have - aim) / near))
-        warnings.warn(f"mixing: targets out of reach of the posteriors; domain {worst} has {have[worst]:.6f} of the tokens, not {aim[worst]:.6f}", stacklevel=2)
-    return pulls
-
-
-def balance(table: DataFrame, k: int, targets: list[float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, rate: the rates nearest to one at which the domains' shares of expected tokens meet the targets.
-
-    Over (doc_id, n_tokens, p0, ...); each step is one aggregation to k + 2 sums, and nothing is written between steps.
-    """
-
-    def rate(pulls):
-        return F.greatest(F.lit(0.0), 1.0 + _total([F.col(f"p{i}") * float(pulls[i]) for i in range(k)]))
-
-    def sums(pulls):
-        rows = table.withColumn("rate", rate(pulls)).withColumn("tokens", F.col("rate") * F.col("n_tokens"))
-        columns = [F.col("n_tokens"), F.col("tokens") * F.col("rate"), *(F.col("tokens") * F.col(f"p{i}") for i in range(k))]
-        row = rows.agg(*(F.coalesce(F.sum(c.cast("double")), F.lit(0.0)).alias(f"s{j}") for j, c in enumerate(columns))).first()
-        return row[0], row[1], list(row)[2:]
-
-    return table.select("doc_id", "n_tokens", rate(solve(sums, k, targets)).alias("rate"))
+        if length < SHORTEST:
+            break
+        state, second, error = tried, second_, sums / n - aim
+        if steps % WRITTEN == 0:
+            last, written = written, save(state)
+            state = written
+            if last is not None:
+                drop(table.sparkSession, last)
+    if (np.abs(error) > near).any():
+        worst = int(np.argmax(np.abs(error) / near))
+        warnings.warn(f"mixing: targets out of reach of the posteriors; domain {worst} has {error[worst] + aim[worst]:.6f} of the tokens, not {aim[worst]:.6f}", stacklevel=2)
+    return state.select("doc_id", "n_tokens", "rate")
 
 
 def mix(documents: DataFrame, labels: DataFrame, domain_col: str = "source", weights: dict[str, float] | None = None, seed: int = 0) -> DataFrame:

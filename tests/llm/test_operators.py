@@ -398,12 +398,12 @@ def test_mixing_meets_targets(spark):
     k = len(domains)
     n, post = p.n_tokens.to_numpy(float), p[[f"p{i}" for i in range(k)]].to_numpy()
     aim = np.array([{"a": 0.5, "b": 0.5}.get(d, 0.0) for d in domains])
-    rate = np.ones(len(p))
-    for _ in range(mixing.STEPS):
-        have = (rate * n) @ post / n.sum()
-        rate = np.maximum(0, rate - (post @ (have - aim) + mixing.PULL * (rate - 1)) / (1 + mixing.PULL))
-    got = mixing.rates(table, k, aim.tolist()).toPandas().set_index("doc_id").rate.reindex(p.doc_id).to_numpy()
-    assert np.allclose(got, rate)
+    # No rate is zero here: the solution nearest to one, by a dense solver.
+    weight = post * (n / n.sum())[:, None]
+    nearest = 1 + post @ np.linalg.lstsq(weight.T @ post, aim - weight.sum(axis=0), rcond=None)[0]
+    assert (nearest > 0).all()
+    got = mixing.balance(table, k, aim.tolist()).toPandas().set_index("doc_id").rate.reindex(p.doc_id).to_numpy()
+    assert np.allclose(got, nearest, atol=1e-6)
     mixed = mixing.mixed_documents(docs, spark.createDataFrame(out[["doc_id", "copies"]]))
     assert mixed.columns == docs.columns and mixed.count() == out.copies.sum()
 
@@ -431,6 +431,47 @@ def test_mixing_meets_skewed_targets(spark):
         assert [by[d] / by.sum() for d in domains] == pytest.approx(aim, abs=0.01)
 
 
+def test_projected_gradient_reaches_what_a_dense_solver_reaches(spark):
+    rng = np.random.default_rng(2)
+    post = rng.dirichlet([0.15] * 5, 400)
+    n = rng.integers(1, 200, 400)
+    table = spark.createDataFrame([(i, int(n[i]), *map(float, post[i])) for i in range(400)], "doc_id long, n_tokens long, p0 double, p1 double, p2 double, p3 double, p4 double")
+    for aim in ([0.2] * 5, [0.9, 0.025, 0.025, 0.025, 0.025], [0.45, 0.5, 0.02, 0.02, 0.01]):
+        out = mixing.balance(table, 5, aim).toPandas().set_index("doc_id").sort_index()
+        have = (out.rate.to_numpy() * n) @ post / n.sum()
+        # Plain projected gradient on the same squares, until it stands still.
+        rate, w = np.ones(400), n / n.sum()
+        for _ in range(20000):
+            rate = np.maximum(0, rate - 3.0 * post @ ((rate * w) @ post - aim))
+        assert np.abs((rate * w) @ post - aim).max() < 1e-5
+        assert (out.rate >= 0).all() and np.abs(have - aim).max() <= 1.1e-3
+    assert (out.rate == 0).any()
+    with pytest.warns(UserWarning, match="out of reach"):
+        mixing.balance(table.where("p0 < 0.9"), 5, [1.0, 0, 0, 0, 0])
+
+
+def test_posteriors_equal_plain_naive_bayes(spark):
+    rng = random.Random(9)
+    sources = [rng.choice("aab") for _ in range(120)]
+    texts = [" ".join(rng.choice(WORDS[:20] if s == "a" else WORDS[15:40]) for _ in range(rng.randint(0, 60))) for s in sources]
+    docs = _docs(spark, texts, lambda i: sources[i])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int")
+    buckets = {r.w: r.b for r in spark.createDataFrame([(w,) for w in WORDS], "w string").selectExpr("w", f"cast(pmod(xxhash64(w), {mixing.BUCKETS}) as int) as b").collect()}
+    learn = range(0, 120, 2)
+    counts = {d: np.ones(mixing.BUCKETS) for d in "ab"}
+    for i in learn:
+        for w in texts[i].split():
+            counts[sources[i]][buckets[w]] += 1
+    prior = {d: (sum(sources[i] == d for i in learn) + 1) / (len(learn) + 2) for d in "ab"}
+    domains, table = mixing.posteriors(docs, labels)
+    for r in table.collect():
+        words = texts[r.doc_id].split()
+        soft = min(1.0, mixing.EVIDENCE / max(1, len(words)))
+        s = np.array([np.log(prior[d]) + soft * sum(np.log(counts[d][buckets[w]] / counts[d].sum()) for w in words) for d in domains])
+        p = np.exp(s - s.max())
+        assert r.n_tokens == len(words) and [r.p0, r.p1] == pytest.approx((p / p.sum()).tolist(), abs=1e-9)
+
+
 def test_mixing_keeps_every_labelled_domain(spark, monkeypatch):
     texts = [" ".join(f"s{i % 30}x{j}" for j in range(30)) for i in range(90)]
     docs = _docs(spark, texts, lambda i: f"src{i % 30}")
