@@ -35,6 +35,8 @@ NOISE_NAMES = frozenset(
 )
 #: Parts in which an article element is a part of them, not the page's own article.
 STRICT_NAMES = frozenset("comment comments discussion reply replies respond disqus related recommended recommendations sidebar teaser teasers widget".split())
+#: Names that say little when another word follows them, as in form-factor or menu-item: within an article they must come last.
+VAGUE_NAMES = frozenset("form menu side foot search alert notice notices legal reply replies social login overlay pager promo share copyright".split())
 CONTENT_NAMES = frozenset("content article post entry story articlebody postbody maincontent".split())
 NOT_A_PART = frozenset("has with no without is".split())
 
@@ -92,7 +94,7 @@ def _open(tag: str, attributes: str, above: _Frame) -> _Frame:
         for parts in named:
             if not parts or NOT_A_PART & set(parts):
                 continue
-            if parts[-1] in NOISE_NAMES or parts[0] in NOISE_NAMES:
+            if parts[-1] in NOISE_NAMES or parts[0] in NOISE_NAMES and not (zone >= 2 and parts[0] in VAGUE_NAMES):
                 noise = max(noise, 2 if STRICT_NAMES & {parts[0], parts[-1]} else 1)
             elif parts[-1] == "header" or parts[0] == "header":
                 header = True
@@ -209,7 +211,7 @@ def main_part(blocks: list[Block]) -> list[Block]:
     """Of a page's blocks those that its markup lets be main text; the style tree may still remove some."""
     blocks = [b for b in blocks if not b.noise]
     best = max((b.zone for b in blocks), default=0)
-    return [b for b in blocks if b.zone >= best] if best else [b for b in blocks if b.linked * 2 <= len(b.text) or len(b.text) > 200]
+    return [b for b in blocks if b.zone >= min(best, 2)]
 
 
 def _host(url):

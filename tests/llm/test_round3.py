@@ -284,3 +284,28 @@ def test_words_of_pieces():
     raw = "Ab c.\td,,é\x0be".encode()
     names, last, text = phrases._split(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     assert pa.array(names.to_pylist()).to_pylist() == [b"ab", b"c", b"d", "é".encode(), b"e"] and last.tolist() == [False, True, True, True, True]
+
+
+# pages
+
+
+def _text(html):
+    from cinderpath.llm import html_extract
+
+    return "\n\n".join(b.text for b in html_extract.main_part(html_extract.parse(html)))
+
+
+def test_a_paragraph_that_is_one_link_stays_where_no_part_is_named():
+    assert _text("<body><p>First.</p><p><a href='x'>A whole linked paragraph.</a></p><nav><a>Home</a></nav></body>") == "First.\n\nA whole linked paragraph."
+
+
+def test_main_keeps_what_stands_beside_its_article():
+    html = "<body><div>Outside.</div><main><h1>Title</h1><p>Introduction.</p><article><p>Story.</p></article><aside>More</aside></main></body>"
+    assert _text(html) == "Title\n\nIntroduction.\n\nStory."
+    assert _text("<body><div>Outside.</div><article><p>Story.</p></article></body>") == "Story."
+
+
+def test_vague_first_parts_of_names_stay_in_an_article():
+    html = "<article><p class='form-factor'>Small.</p><div class='menu-item-recipe'>Soup.</div><div class='comment-list'>No.</div><div class='ad-slot'>No.</div><div class='search-form'>No.</div><div class='share'>No.</div></article>"
+    assert _text(html) == "Small.\n\nSoup."
+    assert _text("<body><div class='menu-item'>Home</div><p>Text.</p></body>") == "Text."
