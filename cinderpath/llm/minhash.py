@@ -138,11 +138,13 @@ def _blocks(n: int, percent: int, k: int):
     least = agreeing(n, percent)
 
     def candidates(part):
-        left, right = np.flatnonzero(part["role"] != 2), np.flatnonzero(part["role"] != 1)
+        role = part["role"]
+        left, right = np.flatnonzero((role != 2) & (role != 4)), np.flatnonzero((role != 1) & (role != 3))
+        crossed = bool(len(role)) and role[0] >= 3  # the sides have no document in common
         doc, comp, hub, sig = part["doc_id"], part["comp"], part["hub"], part["minima"]
         for at in range(0, len(left), 64):
             rows = left[at : at + 64]
-            fit = (comp[rows, None] != comp[right]) & (doc[rows, None] < doc[right]) & (doc[rows] != hub[rows])[:, None] & (doc[right] != hub[right])
+            fit = (comp[rows, None] != comp[right]) & (crossed | (doc[rows, None] < doc[right])) & (doc[rows] != hub[rows])[:, None] & (doc[right] != hub[right])
             i, j = np.nonzero(fit)
             for x in range(0, len(i), 1 << 15):
                 p, q = rows[i[x : x + (1 << 15)]], right[j[x : x + (1 << 15)]]
@@ -194,6 +196,27 @@ def _blocks(n: int, percent: int, k: int):
     return run
 
 
+def block_roles(rest: DataFrame) -> DataFrame:
+    """block, role, doc_id, comp, hub of (bucket, hub, doc_id, comp): for buckets with several components, the blocks in
+    which all pairs of different components meet.
+
+    Documents of a bucket's largest component need meet no other of it: blocks of BLOCK_ROWS of them meet blocks of the
+    others, and these meet each other. So n documents of one component and a stranger make n rows and one for each of
+    their blocks, whatever n is.
+    """
+    sizes = rest.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("big"), F.count("*").alias("comps")).where("comps > 1 and all > 2")
+    blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+    split = save(split.select("bucket", F.col("big.comp").alias("big"), blocks(F.col("big.n")).alias("many"), blocks(F.col("all") - F.col("big.n")).alias("few")))
+    role = lambda kind, i, j, r: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(r).alias("role"))
+    mine = lambda parts: F.pmod(F.xxhash64("doc_id"), F.col(parts)).cast("int")
+    each = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    among = F.when(F.col("few") == 1, F.array(role(0, F.lit(0), F.lit(0), 0))).otherwise(F.concat(F.transform(each("few"), lambda x: role(0, mine("few"), x, 1)), F.transform(each("few"), lambda x: role(0, x, mine("few"), 2))))
+    roles = F.when(F.col("comp") == F.col("big"), F.transform(each("few"), lambda x: role(1, mine("many"), x, 3))).otherwise(F.concat(F.transform(each("many"), lambda x: role(1, x, mine("few"), 4)), among))
+    rows = rest.join(split, "bucket").withColumn("r", F.explode(roles))
+    return rows.select(F.xxhash64("bucket", "r.kind", "r.i", "r.j").alias("block"), "r.role", "doc_id", "comp", "hub")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose whole shingle sets are similar enough."""
 
@@ -256,17 +279,11 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, id_col:
 
     rest = entries.join(hub, "bucket").join(comps, F.col("doc_id") == F.col("node"), "left")
     rest = save(rest.select("bucket", "hub", "doc_id", F.coalesce("component", "doc_id").alias("comp")))
-    split = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
-    split = save(split.select("bucket", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts")))
-    own, others = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
-    role = lambda i, j, r: F.struct(i.alias("i"), j.alias("j"), F.lit(r).alias("role"))
-    roles = F.when(F.col("parts") == 1, F.array(role(F.lit(0), F.lit(0), 0))).otherwise(F.concat(F.transform(others, lambda x: role(own, x, 1)), F.transform(others, lambda x: role(x, own, 2))))
-    live = rest.join(split, "bucket")
+    live = block_roles(rest)
     if not live.isEmpty():
         live = save(live)
         bodies = picked(live.select("doc_id")).join(sigs.select("doc_id", "minima"), "doc_id")
-        live = live.join(bodies, "doc_id").withColumn("r", F.explode(roles))
-        live = live.select(F.xxhash64("bucket", "r.i", "r.j").alias("block"), "r.role", "doc_id", "comp", "hub", "minima", "text")
+        live = live.join(bodies, "doc_id").select("block", "role", "doc_id", "comp", "hub", "minima", "text")
         more = save(live.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(bands * rows, percent, k), "a long, b long").distinct())
         if not more.isEmpty():
             comps = connected_components(links.unionByName(more))

@@ -309,3 +309,41 @@ def test_vague_first_parts_of_names_stay_in_an_article():
     html = "<article><p class='form-factor'>Small.</p><div class='menu-item-recipe'>Soup.</div><div class='comment-list'>No.</div><div class='ad-slot'>No.</div><div class='search-form'>No.</div><div class='share'>No.</div></article>"
     assert _text(html) == "Small.\n\nSoup."
     assert _text("<body><div class='menu-item'>Home</div><p>Text.</p></body>") == "Text."
+
+
+# near duplicates
+
+
+def test_a_stranger_in_a_hot_bucket_costs_few_rows(spark):
+    from cinderpath.llm import minhash
+
+    n = 50_000
+    rest = spark.range(n + 1).selectExpr("0L as bucket", "0L as hub", "id as doc_id", f"case when id = {n} then id else 0L end as comp")
+    rows = minhash.block_roles(rest)
+    assert rows.count() <= n + 2 * -(-n // minhash.BLOCK_ROWS) + 2
+    assert rows.groupBy("block").count().agg({"count": "max"}).first()[0] < 3 * minhash.BLOCK_ROWS
+
+
+def test_blocks_hold_every_pair_of_different_components_once(spark, monkeypatch):
+    from itertools import combinations
+
+    from cinderpath.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
+    rng = random.Random(4)
+    rest = [(b, 0, d, rng.choice([1, 1, 1, 2, 3, 4])) for b in range(4) for d in range(2 + 9 * b)]
+    got = Counter()
+    blocks = defaultdict(list)
+    for r in minhash.block_roles(spark.createDataFrame(rest, "bucket long, hub long, doc_id long, comp long")).collect():
+        blocks[r.block].append(r)
+    for rows in blocks.values():
+        for x in (r for r in rows if r.role not in (2, 4)):
+            for y in (r for r in rows if r.role not in (1, 3)):
+                if x.comp != y.comp and (rows[0].role >= 3 or x.doc_id < y.doc_id):
+                    got[frozenset((x.doc_id, y.doc_id)), ] += 1
+    want = Counter()
+    for b in range(4):
+        own = [(d, c) for bb, _, d, c in rest if bb == b]
+        if len(own) > 2:
+            want.update((frozenset((x, y)),) for (x, p), (y, q) in combinations(own, 2) if p != q)
+    assert got == want
