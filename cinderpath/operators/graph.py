@@ -8,18 +8,23 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local one serves a local master; a cluster must name one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), "cinderpath-graph")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir and read it back. Where that is unset, a local folder serves a local master; a cluster must name one."""
+    """Write df to the shared folder and read it back, which ends its lineage."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "cinderpath-graph"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

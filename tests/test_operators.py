@@ -268,16 +268,18 @@ def test_a_deny_at_the_root_of_a_long_chain_reaches_every_role(spark):
     assert {r.role: r.effect for r in quality.role_grants(parents, grants).collect()} == dict.fromkeys(range(15), "deny")
 
 
-def test_a_cluster_must_name_a_shared_checkpoint_folder(monkeypatch):
+def test_a_cluster_must_name_a_shared_checkpoint_folder():
     class Context:
         master = "spark://somewhere:7077"
-        getCheckpointDir = staticmethod(lambda: None)
+        getCheckpointDir = setCheckpointDir = staticmethod(lambda *a: None)
 
     class Session:
-        sparkContext = Context()
+        sparkContext = Context
 
         class conf:  # noqa: N801
             get = staticmethod(lambda name, default=None: default)
 
     with pytest.raises(RuntimeError):
         graph.cut(type("Frame", (), {"sparkSession": Session()})())
+    with pytest.raises(RuntimeError):
+        graph.shared_folder(Session())
