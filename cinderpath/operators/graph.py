@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, which ends its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write df to the shared folder and read it back, which ends its lineage, survives lost executors and tells Spark true sizes.
+
+    A checkpoint would keep the estimated size of what it replaces, and estimates that loops of joins multiply grow without
+    bound. The folder goes when the application ends.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    folder = f"{shared_folder(spark).rstrip('/')}/cut-{spark.sparkContext.applicationId}"
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    name = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(name)
+    return spark.read.schema(df.schema).parquet(name)
 
 
 def reach(both: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
