@@ -48,15 +48,21 @@ LINKING = ("and", "또한", "그리고", "관계", "relationship", "between", "c
 STARTERS = ("What", "Who", "Where", "When", "How", "Why", "Which", "Find", "Show", "List", "Get", "Tell", "Give", "The", "This", "That", "These", "Those")
 NAMED = (
     ("TECHNOLOGY", r"\b(Python|Java|JavaScript|TypeScript|C\+\+|C#|Ruby|Go|Rust|Kotlin|Swift|PHP|Scala|R|MATLAB)\b"),
+    ("TECHNOLOGY", r"\b(React|Angular|Vue|Django|Flask|FastAPI|Spring|Node\.js|Express|Rails|Laravel)\b"),
     ("TECHNOLOGY", r"\b(MySQL|PostgreSQL|MongoDB|Redis|Neo4j|Elasticsearch|DynamoDB|Cassandra|SQLite)\b"),
     ("TECHNOLOGY", r"\b(AWS|Azure|GCP|Docker|Kubernetes|Terraform|Jenkins|GitHub|GitLab|CircleCI)\b"),
+    ("TECHNOLOGY", r"\b(TensorFlow|PyTorch|Keras|scikit-learn|OpenAI|GPT-\d|Claude|LangChain|HuggingFace)\b"),
+    ("ORGANIZATION", r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\s+(?:Inc\.|Corp\.|LLC|Ltd\.|Co\.|Group|Holdings|Partners))\b"),
     ("ORGANIZATION", r"\b(Google|Microsoft|Apple|Amazon|Meta|Facebook|Netflix|Tesla|Nvidia|Intel|AMD|IBM|Oracle|Salesforce)\b"),
     ("ORGANIZATION", r"\b((?:University of\s+)?[A-Z][a-zA-Z]+(?:\s+(?:University|Institute|College)))\b"),
+    ("CONCEPT", r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)*\s+(?:Theory|Method|Algorithm|Pattern|Framework|Architecture|Protocol|Model))\b"),
     ("CONCEPT", r"\b((?:Agile|Scrum|Kanban|DevOps|CI/CD|TDD|BDD|DDD|SOLID|REST|GraphQL|gRPC))\b"),
     ("DATE", r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2})\b"),
     ("DATE", r"\b(\d{1,2}[-/]\d{1,2}[-/]\d{4})\b"),
     ("DATE", r"\b(Q[1-4]\s+\d{4})\b"),
     ("DATE", r"\b(FY\s*\d{4})\b"),
+    ("METRIC", r"\b(\d+(?:\.\d+)?%)\b"),
+    ("METRIC", r"\b(\$\d+(?:\.\d+)?(?:M|B|K|million|billion)?)\b"),
     ("METRIC", r"\b(\d+(?:\.\d+)?\s*(?:GB|MB|TB|KB|ms|sec|min|hr|days?))\b"),
 )
 SECRETS = ("password", "api_key", "secret", "token", "authorization", "apikey", "api-key", "bearer", "credential", "private_key")

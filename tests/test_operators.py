@@ -280,3 +280,12 @@ def test_a_cluster_must_name_a_shared_checkpoint_folder():
 
     with pytest.raises(RuntimeError):
         graph.shared_folder(Session())
+
+
+def test_all_seventeen_patterns_of_names(spark):
+    from cinderpath.functions import classify
+
+    assert len(classify.NAMED) == 17
+    text = "Django and PyTorch run at Acme Data Holdings by the Banker Algorithm, 15%x and x$20M or 5 GB in Q1 2024"
+    got = {(x["kind"], x["text"]) for x in _one(spark, classify.named(F.lit(text)))}
+    assert {("TECHNOLOGY", "Django"), ("TECHNOLOGY", "PyTorch"), ("ORGANIZATION", "Acme Data Holdings"), ("CONCEPT", "Banker Algorithm"), ("METRIC", "15%"), ("METRIC", "$20M"), ("METRIC", "5 GB"), ("DATE", "Q1 2024")} <= got
