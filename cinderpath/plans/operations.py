@@ -8,6 +8,7 @@ from ..operators import ontology as O
 from ..session import table
 from ..sources import loaders
 from ..streaming import state as S
+from ..streaming.alert_history import history
 from .model import GRAPH, edges, entities
 from .registry import query
 
@@ -37,6 +38,26 @@ def daily_alerts(spark, sf_dir):
     return S.alerts(S.rates(rows, "1 day"), 0.2, 50).select(F.col("start").cast("timestamp_ntz").alias("start"), "rule", "value")
 
 
+@query(
+    "WITH RECURSIVE c AS MATERIALIZED (SELECT user_id AS k, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS t, count_if(event_type = 'error') / count(*) AS v, "
+    "row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts)) AS r FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, date_trunc('day', ts)), "
+    "s AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS fired, false AS active, CAST(0 AS BIGINT) AS last, CAST([] AS STRUCT(tm BIGINT, status VARCHAR, value DOUBLE)[]) AS told FROM c "
+    "UNION ALL SELECT k, r, CASE WHEN fires THEN t ELSE fired END, fires OR (awake AND bad), t, list_concat("
+    "CASE WHEN active AND NOT awake THEN [{'tm': last + 604800, 'status': 'RESOLVED', 'value': CAST(NULL AS DOUBLE)}] ELSE [] END, "
+    "CASE WHEN fires THEN [{'tm': t, 'status': 'FIRING', 'value': v}] WHEN awake AND NOT bad THEN [{'tm': t, 'status': 'RESOLVED', 'value': v}] ELSE [] END) "
+    "FROM (SELECT c.k, c.r, c.t, c.v, s.fired, s.active, s.last, c.v > 0.2 AS bad, s.active AND c.t - s.last < 604800 AS awake, "
+    "c.v > 0.2 AND (s.fired IS NULL OR c.t - s.fired >= 259200) AS fires FROM s JOIN c ON c.k = s.k AND c.r = s.r + 1)), "
+    "e AS (SELECT k, unnest(told) AS x FROM s WHERE r > 0) SELECT CAST(k AS VARCHAR) AS key, x.tm AS at, x.status AS status, round(x.value, 6) AS value FROM e"
+)
+def alert_history(spark, sf_dir):
+    """Alerts of users whose daily share of errors passes a fifth: at most one in three days, resolved by a good day or a week of silence."""
+    days = table(spark, sf_dir, "events").where("user_id is not null and ts is not null").groupBy(F.col("user_id").alias("key"), F.to_date("ts").alias("day"))
+    rate = days.agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("value"))
+    checks = rate.select("key", (F.unix_date("day").cast("long") * 86_400_000).alias("at"), (F.col("value") > 0.2).alias("broken"), "value")
+    told = history(checks, 3 * 86_400_000, 7 * 86_400_000)
+    return told.select("key", F.expr("at div 1000").alias("at"), "status", F.round("value", 6).alias("value"))
+
+
 @query(
     "WITH RECURSIVE e AS (SELECT user_id AS k, event_id AS id, epoch(ts) AS sec, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), "
     "s AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS id, 'closed' AS state, CAST([] AS DOUBLE[]) AS fails, CAST(0.0 AS DOUBLE) AS opened, 0 AS good, '' AS outcome FROM e "
