@@ -231,7 +231,9 @@ def changed_entities(spark, sf_dir):
 )
 def changed_relations(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"))
-    now = lines.agg(F.min_by("l_quantity", "l_partkey").alias("q"), F.min_by("l_tax", "l_partkey").alias("t"))
+    # now is computed twice, so lines of one part in a line of an order need an order of their own; unknown parts come last, as in the SQL.
+    first = F.min(F.struct(F.isnull("l_partkey").alias("unknown"), "l_partkey", F.col("l_quantity").alias("q"), F.col("l_tax").alias("t"))).alias("v")
+    now = lines.agg(first).select("order_id", "line", "v.q", "v.t")
     old = now.where("order_id % 11 <> 0").select(
         "order_id", "line", F.when(F.col("order_id") % 7 == 0, F.col("q") + 1).otherwise(F.col("q")).alias("q"), F.when(F.col("order_id") % 5 == 0, F.lit(-1.0)).otherwise(F.col("t")).alias("t")
     )
