@@ -18,7 +18,8 @@ def type_violations(edges: DataFrame, nodes: DataFrame, rules: DataFrame) -> Dat
 
 def cardinality_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """rel_type, id, fault, n: targets with several sources where one is allowed, and the reverse."""
-    rows = edges.select("src", "dst", "rel_type").join(rules.select("rel_type", "cardinality"), "rel_type").distinct()
+    # Rules are broadcast: a shuffle by rel_type would bring all edges of a type to one task.
+    rows = edges.select("src", "dst", "rel_type").join(F.broadcast(rules.select("rel_type", "cardinality")), "rel_type").distinct()
     t = rows.where("cardinality in ('1:1', '1:N')").groupBy("rel_type", F.col("dst").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
     s = rows.where("cardinality in ('1:1', 'N:1')").groupBy("rel_type", F.col("src").alias("id")).agg(F.count("*").alias("n")).where("n > 1")
     return t.select("rel_type", "id", F.lit("several_sources").alias("fault"), "n").unionByName(s.select("rel_type", "id", F.lit("several_targets").alias("fault"), "n"))
