@@ -7,35 +7,60 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import cut, reach
+from .graph import cut
+
+
+#: Labels a pair that a first search follows; a pair that needs more is searched again with four times as many.
+WIDTH = 16
+
+
+def _before(links: DataFrame, back: DataFrame | None, ends: DataFrame) -> DataFrame:
+    """end, node, low, high: nodes a step further from an end than those of `back`, with the least and the greatest next
+    node of a walk that never turns straight back nor meets its end before. Two are enough to avoid any one node."""
+    if back is None:
+        return ends.select("end", F.col("end").alias("node"), F.lit(None).cast(ends.schema["end"].dataType).alias("low"), F.col("end").alias("high"))
+    rows = links.join(back.withColumnRenamed("node", "b"), "b").where("a <> end and (low is null or low <> a or high <> a)")
+    return rows.groupBy("end", F.col("a").alias("node")).agg(F.min("b").alias("low"), F.max("b").alias("high"))
 
 
 def best_paths(both: DataFrame, pairs: DataFrame, k: int = 3, hops: int = 5) -> DataFrame:
     """start, end, pick, path: the first k paths without a repeated node of each pair, the shortest first, then by their nodes.
 
-    Labels (start, node, path) grow by a hop a round. A label goes on only if an open pair's end is within the hops left,
-    and only as one of the least few that differ in the last inner node alone: of k + m such labels, the m nodes to come
-    can close m at most, so that none of the k best is lost. Pairs are closed when they have k paths. Nothing is pruned
-    by chance: the result is that of listing all paths.
+    Each length is searched in turn, for the pairs that have fewer than k paths. Labels (start, end, node, path) grow by
+    a hop a round, only to nodes that a walk of just the hops left joins with the end; of a pair the WIDTH least go on.
+    What is dropped is greater than all that is kept, so that k paths of those kept are the best; a pair that gets fewer
+    after a drop is searched again with more labels, all of them in the end: the result is that of listing all paths.
     """
     links = cut(both.select("a", "b").where("a <> b").distinct())
     open_ = cut(pairs.select("start", "end").where("start <> end").distinct().withColumn("n", F.lit(0)))
-    back = cut(reach(links, open_.select(F.col("end").alias("id")).distinct(), hops - 1).select(F.col("start").alias("end"), "node", "distance"))
-    front = open_.select("start", F.col("start").alias("node"), F.array("start").alias("path")).distinct()
+    order = Window.partitionBy("start", "end").orderBy("path")
+    backs: list[DataFrame] = []
     found = None
     for d in range(1, hops + 1):
-        near = open_.join(back, "end").groupBy("start", "node").agg(F.min("distance").alias("least")).where(F.col("least") <= hops - d)
-        step = front.withColumnRenamed("node", "a").join(links, "a").where(~F.array_contains("path", F.col("b")))
-        step = step.select("start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path")).join(near.select("start", "node"), ["start", "node"])
-        if d > 1:
-            alike = Window.partitionBy("start", "node", F.slice("path", 1, d - 1)).orderBy("path")
-            step = step.withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + hops - d).drop("r")
-        front = cut(step)
-        order = Window.partitionBy("start", "end").orderBy("path")
-        got = front.join(open_.withColumnRenamed("end", "node"), ["start", "node"]).select("start", F.col("node").alias("end"), "path", "n")
-        got = cut(got.withColumn("pick", F.col("n") + F.row_number().over(order)).where(F.col("pick") <= k).select("start", "end", "pick", "path"))
-        found = got if found is None else found.unionByName(got)
-        done = got.groupBy("start", "end").agg(F.max("pick").alias("m"))
+        backs.append(cut(_before(links, backs[-1] if backs else None, open_.select("end").distinct())))
+        todo, width, all_got = open_, max(WIDTH, k), None
+        while True:
+            front = todo.select("start", "end", F.col("start").alias("a"), F.array("start").alias("path"))
+            short = None
+            for left in range(d - 1, -1, -1):
+                on = backs[left].withColumnRenamed("node", "b")
+                step = front.join(links, "a").where(~F.array_contains("path", F.col("b"))).join(on, ["end", "b"])
+                step = step.where("low is null or low <> a or high <> a").select("start", "end", F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path"))
+                kept = cut(step.withColumn("r", F.row_number().over(order)).where(F.col("r") <= width + 1))
+                front = kept.where(F.col("r") <= width)
+                more = kept.where(F.col("r") > width).select("start", "end")
+                short = more if short is None else short.unionByName(more)
+            got = cut(front.join(todo, ["start", "end"]).where(F.col("r") <= k - F.col("n")).select("start", "end", (F.col("n") + F.col("r")).alias("pick"), "path"))
+            best = got.groupBy("start", "end").agg(F.max("pick").alias("m"))
+            again = todo.join(short.distinct(), ["start", "end"], "left_semi").join(best.where(F.col("m") >= k), ["start", "end"], "left_anti")
+            todo = cut(again)
+            got = got.join(todo, ["start", "end"], "left_anti")
+            all_got = got if all_got is None else all_got.unionByName(got)
+            if todo.isEmpty():
+                break
+            width *= 4
+        found = all_got if found is None else found.unionByName(all_got)
+        done = all_got.groupBy("start", "end").agg(F.max("pick").alias("m"))
         open_ = cut(open_.join(done, ["start", "end"], "left").select("start", "end", F.coalesce("m", "n").alias("n")).where(F.col("n") < k))
         if d < hops and open_.isEmpty():
             break

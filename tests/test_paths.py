@@ -64,3 +64,31 @@ def test_the_first_producer_wins(spark):
     assert got["[Query Result] name: n; flag: true; long"].content.endswith("y" * 200 + "...")
     assert P.first_of_producers(producers, 2).count() == 2
     assert P.first_of_producers([p.where(F.lit(False)) for p in producers]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_best_paths_search_again_after_drops(spark, monkeypatch, seed):
+    monkeypatch.setattr(P, "WIDTH", 1)
+    rng = random.Random(seed)
+    # Many early nodes lead on and back to the start alone; each has a walk to the end, but no path.
+    links = {(0, i) for i in range(1, 9)} | {(i, rng.randrange(9, 12)) for i in range(1, 9)} | {(0, 20), (20, 21), (21, 22), (9, 20), (22, 30), (0, 23), (23, 21)}
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    both = spark.createDataFrame([*links, *[(b, a) for a, b in links]], "a int, b int")
+    pairs = [(0, 30), (30, 0), (1, 22)]
+    got = {(r.start, r.end, r.pick, tuple(r.path)) for r in P.best_paths(both, spark.createDataFrame(pairs, "start int, end int"), 2, 5).collect()}
+    assert got == {(a, b, i, tuple(p)) for a, b in pairs for i, p in enumerate(_all_paths(near, a, b, 5)[:2], 1)}
+
+
+def test_best_paths_keep_few_labels_of_each_pair(spark, monkeypatch):
+    written = []
+    keep = P.cut
+    monkeypatch.setattr(P, "cut", lambda df: written.append(keep(df)) or written[-1])
+    makers, parts = range(100, 140), range(1000, 1060)
+    links = [(m % 2, m) for m in makers] + [(m, p) for m in makers for p in parts]
+    both = spark.createDataFrame([*links, *[(b, a) for a, b in links]], "a int, b int")
+    got = P.best_paths(both, spark.createDataFrame([(0, 1)], "start int, end int")).collect()
+    assert sorted((r.pick, tuple(r.path)) for r in got) == [(i + 1, (0, 100, 1000, m, 1)) for i, m in enumerate((101, 103, 105))]
+    assert max(df.count() for df in written if "path" in df.columns) <= P.WIDTH + 1
