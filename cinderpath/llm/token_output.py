@@ -28,7 +28,7 @@ WRITER = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 #: Distinct words and other chunks that a worker remembers, and bytes of text that are split at a time.
-PIECES, SPLIT_BYTES = 300_000, 8 << 20
+PIECES, SPLIT_BYTES = 300_000, 2 << 20
 #: ASCII punctuation that is a word of its own after letters; an apostrophe isn't.
 _TAIL = ".,;:!?%&*#$()"
 
@@ -55,11 +55,12 @@ class ChunkEncoder:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.ascii, self.letters = (Tokenizer.from_file(path) for _ in range(3))
+        self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.letters.normalizer = self.ascii.normalizer = None
-        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # One model in memory: its steps before the model are exchanged for those that the pieces at hand need.
+        self.whole = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.ascii = (None, pre_tokenizers.WhitespaceSplit())
+        self.letters = (None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -82,12 +83,18 @@ class ChunkEncoder:
         self.used += len(ids)
         self.pieces.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
+    def use(self, steps: tuple) -> None:
+        """Set what the tokenizer does before its model: normalizing and splitting."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+
     def learn(self, pieces: list[str], letters=None) -> None:
-        """Remember new pieces; those of letters come with the tokenizer for them."""
+        """Remember new pieces; those of letters come with the steps for them."""
         for i in range(0, len(pieces), 512):
             part = pieces[i : i + 512]
             if letters is not None:
-                ids = np.array(letters.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
+                self.use(letters)
+                ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
+                self.use(self.whole)
                 ends = np.flatnonzero(self.ends[ids]) + 1
                 if len(ends) == len(part):
                     self.add(part, ids, np.diff(ends, prepend=0))
@@ -169,6 +176,8 @@ def tokenize(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             tokens = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([ids for ids, _ in done]) if done else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), tokens], ["doc_id", "n_tokens", "tokens"])
+            del done, n, ends, tokens
+            pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(run, "doc_id long, n_tokens long, tokens array<int>")
 
