@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,22 +11,66 @@ from .graph import components, cut
 
 #: Names a key that one task compares with another's; those of a larger key are dealt out by a hash.
 CROWD = 1000
+#: Edits up to which names are linked by what is left of them, which needs about n ** 2 / 2 keys a name; beyond, by segments.
+FEW = 2
 
 
-def _pairs(nodes: DataFrame, least: float) -> DataFrame:
-    """type, x, y: different names of a type, among them every pair whose edit similarity is `least` or more.
+def _edits(length, least: float):
+    return F.floor((1.0 - least) * length + 1e-9).cast("int")
+
+
+def _near_links(nodes: DataFrame, least: float) -> DataFrame:
+    """a, b: links of names (type, norm, rep) whose components are those of all pairs of edit similarity `least` or more, the
+    longer name of which may have FEW edits at most. Their number grows with the names, not with the pairs.
+
+    A key is what is left of a name after w places are masked and c characters are cut. Two names of one key are at most
+    w + c + c' edits apart, and each near pair shares a key whose w + c + c' is allowed. Edits allowed grow by one a character
+    at most, so names that share a key with a near one are also near the key's first name, the one with the fewest cuts:
+    each is linked with that one alone. Keys are only made where the type has names of a length that the cuts can lead to.
+    """
+    rows = nodes.select("type", "norm", "rep", F.length("norm").alias("n"), _edits(F.length("norm"), least).alias("d")).where("n > 0")
+    lengths = rows.groupBy("type").agg(F.collect_set("n").alias("lengths"))
+    has = lambda by: F.array_contains("lengths", F.col("n") + by)
+    allowed = lambda by: _edits(F.col("n") + by, least)
+    key = lambda w, c, when: F.when(when, F.struct(F.lit(w).alias("w"), F.lit(c).alias("c")))
+    kinds = F.array(
+        key(2, 0, F.col("d") == 2),
+        key(1, 0, (F.col("d") == 1) | (has(1) & (allowed(1) == 2))),
+        key(0, 0, (has(1) & (allowed(1) == 1)) | (has(2) & (allowed(2) == 2))),
+        key(0, 1, (F.col("d") == 2) | ((F.col("d") == 1) & has(-1))),
+        key(1, 1, (F.col("d") == 2) & has(-1)),
+        key(0, 2, (F.col("d") == 2) & has(-2)),
+    )
+    places = F.expr(
+        "CASE w + c WHEN 0 THEN array(struct(-1 AS i, -1 AS j)) WHEN 1 THEN transform(sequence(0, n - 1), i -> struct(i, -1 AS j)) "
+        "ELSE flatten(transform(sequence(0, greatest(n - 2, 0)), i -> transform(filter(sequence(i, n - 1), j -> j > i), j -> struct(i, j)))) END"
+    )
+    left = F.expr("CASE w + c WHEN 0 THEN norm WHEN 1 THEN concat(substr(norm, 1, i), substr(norm, i + 2)) ELSE concat(substr(norm, 1, i), substr(norm, i + 2, j - i - 1), substr(norm, j + 2)) END")
+    # Masked places are counted after the cuts; of a masked and a cut one either may be the first.
+    masks = F.expr("CASE WHEN w = 0 THEN array(-1) WHEN w = 1 AND c = 0 THEN array(i) WHEN w = 1 THEN array(i, j - 1) ELSE array(i * 1000 + j) END")
+    rows = rows.where(F.col("d") <= FEW).join(F.broadcast(lengths), "type").select("type", "norm", "rep", "n", "d", F.explode(F.array_compact(kinds)).alias("kind"))
+    rows = rows.select("type", "norm", "rep", "n", "d", "kind.w", "kind.c").select("*", F.explode(places).alias("at")).select("*", "at.i", "at.j")
+    rows = rows.select("type", "w", "c", "d", "rep", left.alias("left"), F.explode(masks).alias("mask"))
+    first = F.min(F.struct("c", "rep")).over(Window.partitionBy("type", "w", "mask", "left"))
+    linked = rows.withColumn("first", first).where("rep <> first.rep and w + c + first.c <= d")
+    return linked.select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
+
+
+def _pairs(nodes: DataFrame, least: float, over: int = -1) -> DataFrame:
+    """type, x, y: different names of a type, among them every pair whose edit similarity is `least` or more and whose longer
+    name may have more than `over` edits.
 
     Such names are at most d = (1 - least) * l edits apart, l being the longer one's length. Cut in d + 1 segments, the
     longer one has a segment that the other has too, at most d places away (pigeonhole): that is the joins' key.
     """
-    edits = lambda l: F.floor((1.0 - least) * l + 1e-9).cast("int")
+    edits = lambda l: _edits(l, least)
     begin = lambda l, j: F.floor(j * l / (edits(l) + 1)).cast("int")
     part = lambda s, at, n: s.substr(at + 1, n)
     rows = nodes.select("type", "norm", F.length("norm").alias("n")).where("n > 0")
-    own = rows.select("type", F.col("norm").alias("x"), F.col("n").alias("l"), F.explode(F.sequence(F.lit(0), edits(F.col("n")))).alias("j"))
+    own = rows.where(edits(F.col("n")) > over).select("type", F.col("norm").alias("x"), F.col("n").alias("l"), F.explode(F.sequence(F.lit(0), edits(F.col("n")))).alias("j"))
     own = own.select("type", "x", "l", "j", part(F.col("x"), begin(F.col("l"), F.col("j")), begin(F.col("l"), F.col("j") + 1) - begin(F.col("l"), F.col("j"))).alias("key"))
     longest = F.ceil(F.col("n") / F.lit(least)).cast("int")
-    other = rows.select("type", F.col("norm").alias("y"), "n", F.explode(F.sequence(F.col("n"), longest)).alias("l")).where(F.col("l") - F.col("n") <= edits(F.col("l")))
+    other = rows.select("type", F.col("norm").alias("y"), "n", F.explode(F.sequence(F.col("n"), longest)).alias("l")).where((F.col("l") - F.col("n") <= edits(F.col("l"))) & (edits(F.col("l")) > over))
     other = other.select("*", F.explode(F.sequence(F.lit(0), edits(F.col("l")))).alias("j"))
     other = other.select("*", begin(F.col("l"), F.col("j")).alias("at"), begin(F.col("l"), F.col("j") + 1).alias("end"))
     other = other.select("*", F.explode(F.sequence(-edits(F.col("l")), edits(F.col("l")))).alias("by"))
@@ -46,15 +90,15 @@ def _pairs(nodes: DataFrame, least: float) -> DataFrame:
 def resolve(entities: DataFrame, least: float = 0.85) -> DataFrame:
     """id, cluster (the least id of a cluster) of entities (id, type, name).
 
-    Equal normalised names of a type are one node, so copies never pair up. Links are all pairs of different names with
-    edit similarity of `least` or more.
+    Equal normalised names of a type are one node, so copies never pair up. Links join what all pairs of different names with
+    edit similarity of `least` or more join.
     Rows with a null id or name are clusters of their own, if they have an id.
     """
     rows = entities.where("id is not null").select("id", "type", T.normalize_name("name").alias("norm"))
     nodes = cut(rows.where("norm is not null").groupBy("type", "norm").agg(F.min("id").alias("rep")))
-    links = _pairs(nodes, least)
+    links = _pairs(nodes, least, FEW)
     ids = nodes.select("type", "norm", "rep")
-    edges = links.join(ids.select("type", F.col("norm").alias("x"), F.col("rep").alias("a")), ["type", "x"]).join(ids.select("type", F.col("norm").alias("y"), F.col("rep").alias("b")), ["type", "y"]).select("a", "b")
+    edges = links.join(ids.select("type", F.col("norm").alias("x"), F.col("rep").alias("a")), ["type", "x"]).join(ids.select("type", F.col("norm").alias("y"), F.col("rep").alias("b")), ["type", "y"]).select("a", "b").unionByName(_near_links(nodes, least))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     comps = components(both, nodes.select(F.col("rep").alias("id")))
     member = rows.join(nodes, ["type", "norm"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
