@@ -33,7 +33,11 @@ def entities(text: Column) -> Column:
 
 
 def entity_overlap(query: Column, text: Column) -> Column:
-    a, b = entities(query), entities(text)
+    return overlap(entities(query), entities(text))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Of two lists of entities: what they share of all they have."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
@@ -46,6 +50,16 @@ def relation_match(query: Column, text: Column) -> Column:
     return F.when(~asked, 0.5).when(same, 1.0).when(other, 0.5).otherwise(0.0)
 
 
+def verbs(text: Column) -> Column:
+    """The verbs of relations that a text has."""
+    return F.filter(F.array(*map(F.lit, VERBS)), lambda v: F.contains(F.lower(text), v))
+
+
+def verb_match(asked: Column, told: Column) -> Column:
+    """relation_match of the verbs of a query and a text."""
+    return F.when(F.size(asked) == 0, 0.5).when(F.arrays_overlap(asked, told), 1.0).when(F.size(told) > 0, 0.5).otherwise(0.0)
+
+
 def years(text: Column) -> Column:
     """The years from 1800 to 2099 that a text names as words."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"\b(1[89]\d{2}|20[0-9]{2})\b"), 1), lambda y: y.cast("int"))
@@ -53,7 +67,11 @@ def years(text: Column) -> Column:
 
 def year_alignment(query: Column, text: Column) -> Column:
     """Of the ranges of years: 1 if equal, 0.6 to 1 by overlap, 0.5 to 0.7 within five years, else falling to 0.1."""
-    q, t = years(query), years(text)
+    return ranges_alignment(years(query), years(text))
+
+
+def ranges_alignment(q: Column, t: Column) -> Column:
+    """year_alignment of the years of a query and a text."""
     q0, q1, t0, t1 = F.array_min(q), F.array_max(q), F.array_min(t), F.array_max(t)
     overlap = (F.least(q1, t1) - F.greatest(q0, t0) + 1) / (F.greatest(q1, t1) - F.least(q0, t0) + 1)
     apart = F.least(F.abs(q0 - t1), F.abs(q1 - t0))

@@ -50,17 +50,19 @@ _PARTS = (
 )
 
 
-def _pairs(spark, sf_dir):
-    """(id, text) of every order with each of the questions, which are literals in the plan."""
+def _told(spark, sf_dir):
+    """(id, text) of every order with what its text tells, once for all questions."""
     text = _TEXT.format(day="date_format(o_orderdate, 'yyyy-MM-dd')")
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{text} AS text")
-    asked = F.array(*(F.struct(F.lit(i).alias("q"), F.lit(q).alias("question")) for i, q in enumerate(QUESTIONS)))
-    return rows.select("id", "text", F.explode(asked).alias("a")).select("id", "text", "a.q", "a.question")
+    t = F.col("text")
+    return rows.select("id", E.entities(t).alias("entities"), E.verbs(t).alias("verbs"), E.years(t).alias("years"), E.polarity(t).alias("polarity"))
 
 
 def _scored(spark, sf_dir):
-    q, t = F.col("question"), F.col("text")
-    parts = _pairs(spark, sf_dir).select("id", "q", E.entity_overlap(q, t).alias("overlap"), E.relation_match(q, t).alias("relation"), E.year_alignment(q, t).alias("temporal"), E.polarity(t).alias("polarity"))
+    """Every order with each of the questions, which are literals in the plan, as is what they ask for."""
+    asked = lambda i, q: F.struct(F.lit(i).alias("q"), E.entities(q).alias("entities"), E.verbs(q).alias("verbs"), E.years(q).alias("years"))
+    rows = _told(spark, sf_dir).withColumn("a", F.explode(F.array(*(asked(i, F.lit(q)) for i, q in enumerate(QUESTIONS)))))
+    parts = rows.select("id", "a.q", E.overlap(F.col("a.entities"), F.col("entities")).alias("overlap"), E.verb_match(F.col("a.verbs"), F.col("verbs")).alias("relation"), E.ranges_alignment(F.col("a.years"), F.col("years")).alias("temporal"), "polarity")
     score = E.grounded_score(F.col("overlap"), F.col("relation"), F.col("temporal"), F.lit(0.0), F.col("polarity"))
     return parts.withColumn("score", score)
 
