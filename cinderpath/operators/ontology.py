@@ -102,19 +102,22 @@ def inferred(facts: DataFrame, predicates: DataFrame) -> DataFrame:
     Facts with a null are left out.
     """
     rules = predicates.select("predicate", F.coalesce("symmetric", F.lit(False)).alias("symmetric"), "inverse", F.coalesce("transitive", F.lit(False)).alias("transitive"))
-    chained = rules.where("transitive").select("predicate")
+    # Broadcast: a shuffle by predicate would move all facts, and those of one predicate to one task.
+    rules = F.broadcast(rules)
+    chained = F.broadcast(rules.where("transitive").select("predicate"))
     front = seen = cut(facts.select("src", "predicate", "dst").dropna().distinct())
     while not front.isEmpty():
         ruled = front.join(rules, "predicate")
         turn = lambda d, p: d.select(F.col("dst").alias("src"), F.col(p).alias("predicate"), F.col("src").alias("dst"))
         new = turn(ruled.where("symmetric"), "predicate").unionByName(turn(ruled.where("inverse is not null"), "inverse"))
         links = front.join(chained, "predicate", "left_semi")
-        after = seen.select(F.col("src").alias("dst"), "predicate", F.col("dst").alias("to"))
-        before = seen.select(F.col("dst").alias("src"), "predicate", F.col("src").alias("from"))
+        steps = seen.join(chained, "predicate", "left_semi")  # before the shuffles: other facts aren't chained
+        after = steps.select(F.col("src").alias("dst"), "predicate", F.col("dst").alias("to"))
+        before = steps.select(F.col("dst").alias("src"), "predicate", F.col("src").alias("from"))
         new = new.unionByName(links.join(after, ["dst", "predicate"]).select("src", "predicate", F.col("to").alias("dst")))
         new = new.unionByName(links.join(before, ["src", "predicate"]).select(F.col("from").alias("src"), "predicate", "dst"))
         front = cut(new.distinct().join(seen, ["src", "predicate", "dst"], "left_anti"))
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)  # each round's facts are written once
     return seen
 
 
