@@ -68,6 +68,6 @@ def loaded_graph(spark, sf_dir):
     """Entities (value: their vector), relations (value: their confidence) and links as stored after two loads."""
     path = _loaded(spark, sf_dir)
     at = F.date_format("updated_at", "yyyy-MM-dd").alias("updated")
-    row = lambda name, key, value: loads.stored(spark, path, name).select(F.lit(name).alias("kind"), key.alias("key"), "version", value.alias("value"), at)
-    out = row("entity", F.col("id"), F.round(F.col("embedding")[0].cast("double"), 4)).unionAll(row("relation", F.concat_ws(" ", "src", "predicate", "dst"), F.col("confidence")))
-    return out.unionAll(row("link", F.concat_ws(" ", "chunk_id", "entity_id"), F.lit(None).cast("double")))
+    row = lambda name, key, value, column: loads.stored(spark, path, name, ["version", "updated_at", *column]).select(F.lit(name).alias("kind"), key.alias("key"), "version", value.alias("value"), at)
+    out = row("entity", F.col("id"), F.round(F.col("embedding")[0].cast("double"), 4), ["embedding"]).unionAll(row("relation", F.concat_ws(" ", "src", "predicate", "dst"), F.col("confidence"), ["confidence"]))
+    return out.unionAll(row("link", F.concat_ws(" ", "chunk_id", "entity_id"), F.lit(None).cast("double"), []))

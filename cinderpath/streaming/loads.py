@@ -90,18 +90,18 @@ def _stored(spark: SparkSession, path: str, name: str, columns: list[str] | None
     return None if rows is None else _newest(rows, keys, values + _STATE if columns is None else columns, F.col("load"))
 
 
-def stored(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table of the store: key, values, content_hash, embedding_hash, version, created_at, updated_at.
+def stored(spark: SparkSession, path: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of the store: key, values, content_hash, embedding_hash, version, created_at, updated_at; or the key and some columns.
 
     Relations and links show once both their ends are stored, in whatever order loads brought them.
     """
-    rows = _stored(spark, path, name)
+    rows = _stored(spark, path, name, columns)
     if rows is None:
         raise ValueError(f"nothing was loaded to {path}")
     ends = {"relation": {"src": "entity", "dst": "entity"}, "link": {"chunk_id": "chunk", "entity_id": "entity"}}
     for column, of in ends.get(name, {}).items():
         rows = rows.join(_rows(spark, path, of).select(F.col("id").alias(column)), column, "left_semi")
-    return rows.select(*TABLES[name][0], *TABLES[name][1], *_STATE)
+    return rows.select(*TABLES[name][0], *(TABLES[name][1] + _STATE if columns is None else columns))
 
 
 def report(spark: SparkSession, path: str) -> DataFrame:
@@ -128,9 +128,9 @@ def _incoming(records: DataFrame, name: str) -> DataFrame:
     else:
         rows = records.where(F.col("kind") == name).select(*keys, *values, "loaded_at")
     embedding = F.when(F.size("embedding") > 0, F.sha2(F.to_json("embedding"), 256)) if "embedding" in values else F.lit(None).cast("string")
-    rows = rows.withColumn("content_hash", _digest(keys + values)).withColumn("embedding_hash", embedding)
-    order = F.struct("loaded_at", "content_hash", "embedding_hash")
-    newest = _newest(rows, keys, values + ["loaded_at", "content_hash", "embedding_hash"], order)
+    # What is shuffled has the hashes once, as bytes, which sort as their digits do; those of the newest rows are made again.
+    order = F.struct("loaded_at", F.unhex(_digest(keys + values)).alias("content"), F.unhex(embedding).alias("vector"))
+    newest = _newest(rows, keys, values + ["loaded_at"], order).withColumn("content_hash", _digest(keys + values)).withColumn("embedding_hash", embedding)
     return newest.withColumn("keyed", reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
 
 
@@ -142,17 +142,18 @@ def changes(new: DataFrame, old: DataFrame | None, name: str, least: float = 0.1
     updated_at. A modified entity takes the incoming vector, also where that is null.
     """
     keys, values = TABLES[name]
-    moved = F.col("content_hash") != F.col("_content")
+    moved, vector = F.col("content_hash") != F.col("_content"), F.col("embedding_hash").isNotNull() & ~F.col("embedding_hash").eqNullSafe(F.col("_vector"))
     state = "_content string, _vector string, _version int, _created timestamp"
     held = {"_content": "content_hash", "_vector": "embedding_hash", "_version": "version", "_created": "created_at"}
     if name == "relation":
         moved = F.coalesce(F.abs(F.col("confidence") - F.col("_confidence")) >= least, ~F.col("confidence").eqNullSafe(F.col("_confidence")))
-        state, held = state + ", _confidence double", held | {"_confidence": "confidence"}
+        vector = F.lit(False)
+        state = "_version int, _created timestamp, _confidence double"
+        held = {"_version": "version", "_created": "created_at", "_confidence": "confidence"}
     if old is None:
         both = new.select("*", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in state.split(", ")))
     else:
         both = new.join(old.select(*keys, *(F.col(c).alias(n) for n, c in held.items())), keys, "left")
-    vector = F.col("embedding_hash").isNotNull() & ~F.col("embedding_hash").eqNullSafe(F.col("_vector"))
     change = F.when(~F.col("keyed"), "NO_KEY").when(F.col("_version").isNull(), "NEW").when(moved, "MODIFIED").when(vector, "EMBEDDING_ONLY").otherwise("UNCHANGED")
     version = F.coalesce("_version", F.lit(0)) + F.col("change").isin("NEW", "MODIFIED").cast("int")
     return both.withColumn("change", change).select(
@@ -178,10 +179,11 @@ def load(records: DataFrame, path: str, source: str, batch: int, least: float =
         covered = rows.where("kind = 'entity' and size(embedding) > 0").groupBy().agg(F.count("*").alias("n")).select(F.lit("entity"), F.lit("WITH_VECTOR"), "n")
         counts = counts.unionAll(covered)
         for name in TABLES:
-            narrow = ["content_hash", "embedding_hash", "version", "created_at"] + (["confidence"] if name == "relation" else [])
+            # Relations are compared by their confidence, so their hashes stay where they are.
+            narrow = ["version", "created_at"] + (["confidence"] if name == "relation" else ["content_hash", "embedding_hash"])
             found = changes(_incoming(rows, name), _stored(spark, path, name, narrow), name, least).persist()
             kept.append(found)
-            found.where("change in ('NEW', 'MODIFIED', 'EMBEDDING_ONLY')").drop("change").write.mode("overwrite").parquet(f"{path}/{name}/load={number}")
+            found.where("change in ('NEW', 'MODIFIED', 'EMBEDDING_ONLY')").drop("change").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/load={number}")
             counts = counts.unionAll(found.groupBy("change").agg(F.count("*").alias("n")).select(F.lit(name), "change", "n"))
         counts.where("n > 0").select(F.lit(number).alias("number"), "kind", "change", "n").coalesce(1).write.mode("overwrite").parquet(f"{path}/report/load={number}")
     finally:
