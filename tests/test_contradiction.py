@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cinderpath.functions import evidence as E
 from cinderpath.operators import contradiction as C
@@ -73,3 +74,29 @@ def test_adjusted_scores(spark):
     assert got[1].adjusted == pytest.approx(0.8 * (1 - 0.06)) and got[1].supports and got[1].polarity_confidence == pytest.approx(0.8)
     assert got[2].adjusted == pytest.approx(0.5 * 0.85 * (1 - 0.06)) and not got[2].supports and got[2].polarity_confidence == pytest.approx(0.95)
     assert got[3].adjusted == 1.0 and got[4].adjusted == 0.0 and got[4].polarity == "UNCERTAIN"
+
+
+def test_texts_are_scanned_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i % 3, i, f"it was not ever seen, never so in {i % 7} days", "was it ever seen", 0.5) for i in range(40)]
+    kind = "grp int, id int, text string, query string, score double"
+    assert C.adjusted(spark.createDataFrame(rows, kind).mapInArrow(counted, kind)).count() == len(rows)
+    assert seen.value == len(rows)
+
+
+def test_words_by_letter_are_the_words(spark):
+    rng = random.Random(5)
+    english, korean = (E.NEGATIONS, E.CONTRASTS, C.CORRECTIONS, E.CONFIRMATIONS, C.CHANGES), (C.KOREAN_NEGATIONS, C.KOREAN_CONTRASTS, C.KOREAN_CORRECTIONS, C.KOREAN_CONFIRMATIONS)
+    words = [w for p in (*english, *korean) for w in p.replace("s?", "s").split("|")] + ["support", "ship", "no longer", "9", "used to be"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", ", ", "", "'", "_", "~"]) for _ in range(12)) for _ in range(300)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for p in english:
+        assert frame.where(F.regexp_count("text", F.lit(rf"\b({p})\b")) != F.regexp_count("text", F.lit(C._pattern(p)))).count() == 0
+    for p in korean:
+        assert frame.where(F.regexp_count("text", F.lit(f"({p})")) != F.regexp_count("text", F.lit(C._pattern(p, False)))).count() == 0
