@@ -1,8 +1,8 @@
 """Ordered leader clustering of named entities: exact, fuzzy, embedding and cross-lingual stages.
 
 In an order of their own, names join the first earlier leader that they match, by the first stage that has one, and lead
-themselves if none does. No list of all similar pairs is made: names come in batches that double, each is compared with
-the leaders of those before, and only what is left of a batch with itself. As the order is that of a hash, a family of
+themselves if none does. No list of all similar pairs is made: names come in batches that grow, each is compared with
+the leaders of those before, once, and only what is left of a batch with itself. As the order is that of a hash, a family of
 similar names shows up while batches are small; what is compared grows with names times leaders that share a rare token,
 not with the square of a family.
 """
@@ -11,14 +11,18 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import text as T
 from .graph import cut
 
-#: Names of the first batch, about; a batch has all names up to a hash, and the next one up to twice that.
-FIRST = 1024
+#: Names of the first batch, at most about; a batch has all names up to a hash, and the next one up to 2 ** GROWTH times that.
+FIRST, GROWTH = 512, 2
+#: Token frequencies that are known to the tasks; all rarer tokens count as equally rare.
+KNOWN = 1 << 16
 #: Leaders whose angles to vectors tell cells apart.
 PIVOTS = 16
 
@@ -36,11 +40,21 @@ def _least_shared(n: Column, share: float) -> Column:
 def token_sets(names: DataFrame, group: str, name: str, share: float) -> DataFrame:
     """names with `size` of their token sets, `sorted` tokens by rising frequency in their group, and `prefix`: names of
     which `share` of the larger set's tokens are common have a token of both prefixes in common."""
-    each = names.select(group, name, F.explode(tokens(name)).alias("t"))
-    often = each.groupBy(group, "t").agg(F.count("*").alias("f"))
-    rows = each.join(often, [group, "t"]).groupBy(group, name).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t"))), lambda x: x["t"]).alias("sorted"))
+    often = names.select(F.col(group).alias("g"), F.explode(tokens(name)).alias("t")).groupBy("g", "t").agg(F.count("*").alias("f"))
+    places: dict[str, dict[str, int]] = {}
+    for i, r in enumerate(reversed(often.orderBy(F.desc("f"), "g", "t").limit(KNOWN).collect())):
+        places.setdefault(r.g, {})[r.t] = i
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def by_frequency(groups: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(g, text):
+            t, place = f"^{text}$", places.get(g, {})
+            return sorted({t[i : i + 2] for i in range(len(t) - 1)}, key=lambda x: (place.get(x, -1), x))
+
+        return pd.Series([one(g, text) for g, text in zip(groups, texts, strict=True)], dtype=object)
+
     size = F.size("sorted")
-    return names.join(rows, [group, name]).withColumn("size", size).withColumn("prefix", F.slice("sorted", F.lit(1), size - _least_shared(size, share) + 1))
+    return names.withColumn("sorted", by_frequency(group, name)).withColumn("size", size).withColumn("prefix", F.slice("sorted", F.lit(1), size - _least_shared(size, share) + 1))
 
 
 def candidates(left: DataFrame, right: DataFrame, group: str, name: str, share: float) -> DataFrame:
@@ -131,44 +145,50 @@ def leader_clusters(entities: DataFrame, vectors: DataFrame | None = None, fuzzy
 
     def fuzzy_links(left: DataFrame, right: DataFrame) -> DataFrame:
         found = candidates(left, right, "grp", "name", share).where("x_rank > y_rank")
-        edit = found.withColumn("close", T.edit_similarity("x", "y") >= fuzzy)
-        rest = edit.where(~F.col("close")).where(T.jaro_winkler("x", "y") >= fuzzy)
-        return edit.where("close").unionByName(rest).select("grp", "x", "y", "y_rank", F.lit(2).alias("stage"))
+        found = found.withColumn("close", 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"), F.lit(1)) >= fuzzy)
+        jaro = T.jaro_winkler(*(F.when(~F.col("close"), F.col(c)) for c in "xy"))
+        return found.withColumn("jaro", jaro).where(F.col("close") | (F.col("jaro") >= fuzzy)).select("grp", "x", "y", "y_rank", F.lit(2).alias("stage"))
 
     def vector_links(left: DataFrame, right: DataFrame) -> DataFrame:
         found = vector_candidates(left, right, "grp", "name", lowest).where("x_rank > y_rank")
         stage = F.when(F.col("cosine") >= embedding, 3).when((F.col("cosine") >= cross_lingual) & T.cross_lingual("x", "y"), 4)
         return found.withColumn("stage", stage).where("stage is not null").select("grp", "x", "y", "y_rank", "stage")
 
-    def without(left: DataFrame, links: DataFrame) -> DataFrame:
-        return left.join(links.select("grp", F.col("x").alias("name")).distinct(), ["grp", "name"], "left_anti")
+    def links_of(left: DataFrame, right: DataFrame) -> DataFrame:
+        found = fuzzy_links(left, right)
+        return found.unionByName(vector_links(left, right)) if vectors is not None else found
+
+    def best(links: DataFrame) -> DataFrame:
+        return links.groupBy("grp", "x").agg(F.min_by(F.struct("y", "y_rank", "stage"), F.struct("stage", "y_rank")).alias("to")).select("grp", "x", "to.*")
+
+    def of(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+        return rows.join(keys.select("grp", F.col(key).alias("name")), ["grp", "name"], how)
 
-    has_vectors = vectors is not None
-    leaders = None
-    rounds = max(0, math.ceil(math.log2(max(1, total) / FIRST)))
-    edge = lambda k: f"{(1 << 32) >> k:08x}" if k else "g"  # noqa: E731  hexadecimal digits come before g
+    leaders, joined = None, []
+    rounds = max(0, math.ceil(math.log2(max(1, total) / FIRST) / GROWTH))
+    edge = lambda k: f"{(1 << 32) >> GROWTH * k:08x}" if k else "g"  # noqa: E731  hexadecimal digits come before g
     for k in range(rounds, -1, -1):
-        left = names.where(F.col("rank") < edge(k))
+        left, near = names.where(F.col("rank") < edge(k)), None
         if leaders is not None:
+            # Earlier leaders come before those of this batch, so that the first fuzzy match stays; one by vectors may still find a fuzzy one.
             left = left.where(F.col("rank") >= edge(k + 1))
-            left = cut(without(left, fuzzy_links(left, leaders)))
-            if has_vectors:
-                left = cut(without(left, vector_links(left, leaders)))
-        links = fuzzy_links(left, left).drop("y_rank", "stage")
-        if has_vectors:
-            links = links.unionByName(vector_links(left, left).drop("y_rank", "stage"))
-        new = first_independent(left, cut(links))
-        new = cut(left.join(new, ["grp", "name"], "left_semi"))
+            joined.append(cut(best(fuzzy_links(left, leaders))))
+            left = cut(of(left, joined[-1], "x", "left_anti"))
+            if vectors is not None:
+                near = cut(best(vector_links(left, leaders)))
+                late, left = of(left, near, "x", "left_semi"), of(left, near, "x", "left_anti")
+        links = cut(links_of(left, left))
+        new = first_independent(left, links)
+        new = cut(of(left, new, "name", "left_semi"))
+        joined.append(cut(best(links.join(new.select("grp", F.col("name").alias("y")), ["grp", "y"], "left_semi"))))
+        if near is not None:
+            joined.append(cut(best(links_of(late, new).unionByName(near))))
         leaders = new if leaders is None else leaders.unionByName(new)
-    followers = cut(names.join(leaders, ["grp", "name"], "left_anti"))
-    best = lambda links: links.groupBy("grp", F.col("x").alias("name")).agg(F.min_by(F.struct("y", "stage"), F.struct("stage", "y_rank")).alias("to"))
-    joined = cut(best(fuzzy_links(followers, leaders)))
-    if has_vectors:
-        others = followers.join(joined, ["grp", "name"], "left_anti")
-        joined = joined.unionByName(best(vector_links(others, leaders)))
-    joined = joined.select("grp", "name", "to.y", "to.stage").unionByName(leaders.select("grp", "name", F.col("name").alias("y"), F.lit(0).alias("stage")))
-    own = names.select("grp", F.col("name").alias("y"), F.col("rep").alias("cluster"))
-    named = joined.join(own, ["grp", "y"]).join(names.select("grp", "name", "rep"), ["grp", "name"])
+    ends = leaders.select("grp", F.col("name").alias("x"), F.col("name").alias("y"), F.lit(0).alias("stage"))
+    for j in joined:
+        ends = ends.unionByName(j.select("grp", "x", "y", "stage"))
+    own = leaders.select("grp", F.col("name").alias("y"), F.col("rep").alias("cluster"))
+    named = ends.withColumnRenamed("x", "name").join(own, ["grp", "y"]).join(names.select("grp", "name", "rep"), ["grp", "name"])
     stages = F.when(F.col("stage").isNull() | (F.col("id") == F.col("rep")) & (F.col("stage") == 0), "leader").when(F.col("id") != F.col("rep"), "exact")
     stages = stages.when(F.col("stage") == 2, "fuzzy").when(F.col("stage") == 3, "embedding").otherwise("cross_lingual")
     return rows.join(named, ["grp", "name"], "left").select("id", F.coalesce("cluster", "id").alias("cluster"), stages.alias("stage"))

@@ -160,3 +160,36 @@ def test_a_family_of_similar_names_is_not_compared_with_itself(spark, monkeypatc
 
 def test_leader_clusters_of_an_empty_table(spark):
     assert leaders.leader_clusters(spark.createDataFrame([], "id string, type string, name string")).count() == 0
+
+
+def test_a_name_is_compared_with_earlier_leaders_once(spark, monkeypatch):
+    monkeypatch.setattr(leaders, "FIRST", 32)
+    counted = []
+    plain = leaders.candidates
+
+    def counting(left, right, *a):
+        found = plain(left, right, *a)
+        counted.append(found.count())
+        return found
+
+    monkeypatch.setattr(leaders, "candidates", counting)
+    n = 1200
+    frame = spark.range(n).select(F.concat(F.lit("C:"), "id").alias("id"), F.lit("ORG").alias("type"), F.format_string("Customer#%09d", "id").alias("name"))
+    assert leaders.leader_clusters(frame).count() == n
+    assert sum(counted) < 1.6 * n
+
+
+def test_normalised_names_are_not_normalised_again(spark):
+    rows = [("a", "ORG", "the the doves"), ("b", "ORG", "doves"), ("c", "ORG", "an a doves")]
+    got = {tuple(r) for r in leaders.leader_clusters(spark.createDataFrame(rows, "id string, type string, name string")).collect()}
+    assert got == _clusters(rows, {})
+    assert ("a", "a", "leader") in got
+
+
+@pytest.mark.parametrize("known", [0, 3])
+def test_tokens_of_unknown_frequency_lose_no_pair(spark, monkeypatch, known):
+    monkeypatch.setattr(leaders, "KNOWN", known)
+    rng = random.Random(3)
+    rows = [(f"e{i:03}", rng.choice(["ORG", "P"]), "".join(rng.choices("ab é😀", k=rng.randint(1, 9)))) for i in range(60)]
+    got = {tuple(r) for r in leaders.leader_clusters(spark.createDataFrame(rows, "id string, type string, name string")).collect()}
+    assert got == _clusters(rows, {})
