@@ -188,16 +188,18 @@ def _contradicted(rows: DataFrame) -> DataFrame:
     # Of those that share a unit, all but the ones that agree in each shared unit are apart.
     signed = cut(told.where("mask <> 0").groupBy("grp", "klass", "sets", "mask", "asked").agg(F.count("*").alias("n")))
     band = signed.where("asked <> 0").select("grp", "klass", "sets", "asked", F.explode("sets").alias("m")).withColumn("v", F.filter("m.v", lambda v: v != 0)).where(F.size("v") > 0)
-    band = band.select("grp", "klass", "sets", "asked", F.col("m.i").alias("i"), (F.array_max("v") * 0.8 * (1 - 1e-9)).alias("low"), (F.array_min("v") * 1.2 * (1 + 1e-9)).alias("high"))
+    band = band.select("grp", "klass", "sets", "asked", F.col("m.i").alias("i"), (F.array_max("v") * 0.8 * (1 - 1e-9)).alias("low"), (F.array_min("v") * 1.2 * (1 + 1e-9)).alias("high"), F.when(F.size("v") == 1, F.get("v", F.lit(0))).alias("only"))
     band = band.where("low <= high").withColumn("bin", F.explode(F.sequence(_bin(F.col("low")), _bin(F.col("high")))))
     held = signed.select("grp", F.col("klass").alias("other"), "n", F.col("mask").alias("theirs"), F.col("sets").alias("values"), F.explode("sets").alias("t"))
-    held = held.select("grp", "other", "n", "theirs", "values", F.col("t.i").alias("i"), F.col("t.v")[0].alias("least")).where("least > 0").withColumn("bin", _bin(F.col("least")))
+    held = held.select("grp", "other", "n", "theirs", "values", F.col("t.i").alias("i"), F.array_min("t.v").alias("least"), F.array_max("t.v").alias("most")).where("least > 0").withColumn("bin", _bin(F.col("least")))
     shared = F.col("asked").bitwiseAND(F.col("theirs"))
-    first = shared.bitwiseAND(-shared) == F.pow(F.lit(2.0), F.col("i")).cast("int")
-    near = band.join(held, ["grp", "i", "bin"]).where(F.col("least").between(F.col("low"), F.col("high")) & ~opposite & first)
+    unit = F.pow(F.lit(2.0), F.col("i")).cast("int")
+    first, within = shared.bitwiseAND(-shared) == unit, lambda v: F.abs(F.col("only") - F.col(v)) / F.col("only") <= 0.2
+    one = F.col("only").isNull() | within("least") & within("most")
+    near = band.join(held, ["grp", "i", "bin"]).where(F.col("least").between(F.col("low"), F.col("high")) & ~opposite & first & one)
     of = lambda i: F.get(F.filter("values", lambda y: y["i"] == i), F.lit(0))["v"]
     conflict = F.exists("sets", lambda x: F.exists(x["v"], lambda a: _apart(a, of(x["i"]))))
-    near = near.where(~F.coalesce(conflict, F.lit(False)))
+    near = near.where(F.col("only").isNotNull() & (shared == unit) | ~F.coalesce(conflict, F.lit(False)))
     agreeing = near.groupBy("grp", "klass", "sets").agg(F.sum("n").alias("agreeing"), n_of(differ).alias("differing_agreeing"))
     # An evidence isn't one of its own others, which matters where its own values are apart.
     itself = F.coalesce(F.exists("sets", lambda x: F.exists(x["v"], lambda a: _apart(a, x["v"]))), F.lit(False)).cast("int")
