@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,24 @@ def shared_folder(spark: SparkSession) -> str:
     return shared or os.path.join(tempfile.gettempdir(), "cinderpath-graph")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Writes within remove what was shuffled for them, but for what is under persisted tables, when they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back, which ends its lineage, survives lost executors and tells Spark true sizes.
 
     A checkpoint would keep the estimated size of what it replaces, and estimates that loops of joins multiply grow without
-    bound. The folder goes when the application ends.
+    bound. The folder goes when the application ends; what was shuffled for it goes with the write, as a driver that has
+    little to do collects no garbage, and would leave it on the executors' disks.
     """
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
@@ -33,7 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     name = f"{folder}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(name)
+    with shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(name)
     return spark.read.schema(df.schema).parquet(name)
 
 

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import cut
-from .matching import between
 
 #: Hops by type of question (others: 2), seeds and nodes of a subgraph, least quota of a frontier node.
 HOPS = {"factoid": 1, "yesno": 1, "aggregation": 2, "comparison": 2, "multihop": 3, "bridge": 3}
 SEEDS, CAPACITY, QUOTA = 5, 100, 3
 #: Relevance of a node loses so much a hop, down to a floor; of bridges; of communities; and how many nodes and communities these take.
 START, DECAY, FLOOR, BRIDGE, COMMUNITY, ASKING, COMMUNITIES = 0.9, 0.15, 0.3, 0.85, 0.6, 20, 5
+#: Links of a task, about.
+TASK_LINKS = 250_000
 
 
 def hops(kind):
@@ -22,6 +24,13 @@ def hops(kind):
     return reduce(lambda c, item: c.when(kind == item[0], item[1]), HOPS.items(), F.when(kind.isNull(), 2)).otherwise(2).cast("int")
 
 
+def _near(both: DataFrame) -> DataFrame:
+    """a, b, rel_type, r (the place among a's links, by b and type), once each, kept by a, so that searches don't shuffle them."""
+    parts = math.ceil(both.count() / TASK_LINKS) or 1
+    links = both.where("a is not null and b is not null and a <> b").select("a", "b", "rel_type").repartition(parts, "a").distinct()
+    return links.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b", "rel_type"))).persist()
+
+
 def expand(both: DataFrame, seeds: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): breadth-first from each question's seeds, at most so many nodes a question.
 
@@ -31,9 +40,9 @@ def expand(both: DataFrame, seeds: DataFrame, capacity: int = CAPACITY) -> tuple
     node belongs to the first that looks at it, and the round ends where the capacity does.
 
     nodes has question, id, distance, position; edges question, src (the frontier node), dst, rel_type. Links are
-    limited to the capacity before they are shuffled to their node, so that a hub sends no more of them from any task.
+    numbered once (`_near`, which both may be already); questions are sent to them, and they to none.
     """
-    links = both.where("a <> b").select("a", "b", "rel_type").distinct()
+    links = both if "r" in both.columns else _near(both)
     depth = seeds.select("question", "depth").distinct()
     known = cut(seeds.select("question", "id", F.lit(0).alias("distance"), "position"))
     front, found_edges = known, None
@@ -41,9 +50,8 @@ def expand(both: DataFrame, seeds: DataFrame, capacity: int = CAPACITY) -> tuple
         room = known.groupBy("question").agg(F.count("*").alias("n")).join(depth.where(F.col("depth") >= hop), "question").where(F.col("n") < capacity)
         room = front.groupBy("question").agg(F.count("*").alias("width")).join(room, "question").select("question", "n", F.greatest(F.lit(QUOTA), F.expr(f"({capacity} - n) div width")).alias("quota"))
         asking = front.join(room, "question").select("question", "n", "quota", F.col("id").alias("a"), F.col("position").alias("turn"))
-        near = links.join(asking.select("a").distinct(), "a", "left_semi")
-        near = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("b", "rel_type"))).where(F.col("r") <= max(capacity, QUOTA))
-        looked = asking.join(near, "a").where("r <= quota").join(known.select("question", F.col("id").alias("b")), ["question", "b"], "left_anti")
+        near = links.where(F.col("r") <= max(capacity, QUOTA))
+        looked = near.join(asking.hint("shuffle_hash"), "a").where("r <= quota").join(known.select("question", F.col("id").alias("b")), ["question", "b"], "left_anti")
         first = looked.groupBy("question", "b").agg(F.min(F.struct("turn", "r", "a", "rel_type", "n")).alias("v")).select("question", "b", "v.*")
         place = F.row_number().over(Window.partitionBy("question").orderBy("turn", "r"))
         new = cut(first.withColumn("position", (F.col("n") + place).cast("int")).where(F.col("position") <= capacity))
@@ -60,12 +68,12 @@ def meetings(both: DataFrame, pairs: DataFrame) -> DataFrame:
     Both ends are searched at once, two hops each at most, and only for pairs that nothing shorter joins. Of the ways
     to a node that are equally long the least is kept, from either end, so a round has one row a node and end.
     """
-    links = cut(both.where("a <> b").select("a", "b").distinct())
+    links = both.select("a", "b") if "r" in both.columns else cut(both.where("a <> b").select("a", "b").distinct())
     open_ = cut(pairs.select("start", "end").where("start <> end").distinct())
 
     def onward(front: DataFrame, ahead: bool) -> DataFrame:
         path = F.concat("path", F.array("b")) if ahead else F.concat(F.array("b"), "path")
-        step = front.withColumnRenamed("node", "a").join(links, "a").where(~F.array_contains("path", F.col("b")))
+        step = links.join(front.withColumnRenamed("node", "a").hint("shuffle_hash"), "a").where(~F.array_contains("path", F.col("b")))
         return step.groupBy("root", F.col("b").alias("node")).agg(F.min(path).alias("path"))
 
     def ends(column: str) -> DataFrame:
@@ -97,10 +105,11 @@ def seed_subgraphs(edges: DataFrame, topics: DataFrame, members: DataFrame, capa
     community), position; edges question, src, dst, rel_type. Questions of two hops or more with two seeds or more also
     get the inner nodes of the shortest path between each two seeds, and all edges among their nodes; the first twenty
     nodes their five first communities. These come on top of the capacity: three nodes a pair and five at most.
-    Topics without an id or question are left out; ids that no edge has stand alone.
+    Topics without an id or question are left out; ids that no edge has stand alone. Edges are read three times.
     """
-    edges = cut(edges.select("src", "dst", "rel_type").distinct())
+    edges = edges.select("src", "dst", "rel_type")
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type").unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type"))
+    both = _near(both)
     once = topics.where("question is not null and id is not null").groupBy("question", "id").agg(F.max("score").alias("score"), F.min("kind").alias("kind"))
     rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
     least = F.min("kind").over(Window.partitionBy("question"))
@@ -121,11 +130,16 @@ def seed_subgraphs(edges: DataFrame, topics: DataFrame, members: DataFrame, capa
     place = lambda *by: (F.col("last") + F.row_number().over(Window.partitionBy("question").orderBy(*by))).cast("int").alias("position")
     inner = inner.join(last, "question").select("question", "id", F.lit(1).alias("distance"), F.lit(BRIDGE).alias("relevance"), F.lit("bridge").alias("origin"), place("at", "id"))
     nodes = cut(nodes.unionByName(inner))
+    both.unpersist()
 
     joined = pairs.select("question").distinct()
     ids = nodes.join(joined, "question", "left_semi").select("question", "id")
-    fit = between(edges.where("src <> dst"), cut(ids.select("id").distinct()))
-    among = fit.join(ids.withColumnRenamed("id", "src"), "src").join(ids.withColumnRenamed("id", "dst"), ["question", "dst"])
+    # Each edge is looked for from the end that fewer questions have, so that hubs' edges aren't listed for all that have a hub.
+    asked = cut(ids.groupBy("id").agg(F.count("*").alias("n")))
+    fit = edges.where("src <> dst").join(asked.toDF("src", "n"), "src").join(asked.toDF("dst", "m"), "dst")
+    fit = fit.select("src", "dst", "rel_type", F.when(F.col("n") <= F.col("m"), F.col("src")).otherwise(F.col("dst")).alias("id"))
+    among = fit.join(ids, "id").withColumn("other", F.when(F.col("id") == F.col("src"), F.col("dst")).otherwise(F.col("src")))
+    among = among.join(ids.withColumnRenamed("id", "other"), ["question", "other"], "left_semi")
 
     early = nodes.where(F.col("position") <= ASKING).select("question", "id")
     near = early.join(members.where("community is not null").select("id", "community").distinct(), "id")

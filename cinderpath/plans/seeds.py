@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import seeds as S
+from ..operators.graph import cut
 from .model import EDGES, edges
 from .registry import query
 
@@ -12,7 +13,7 @@ _KINDS = [*S.HOPS, "open"]
 
 
 def _subgraphs(spark, sf_dir):
-    links = edges(spark, sf_dir)
+    links = cut(edges(spark, sf_dir))
     kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.substring("src", 3, 20).cast("int") % len(_KINDS)) + 1)
     topics = links.where("rel_type = 'PRODUCES'").select(F.col("src").alias("question"), kind.alias("kind"), F.col("dst").alias("id"), F.col("confidence").alias("score"))
     members = links.where("rel_type = 'LOCATED_IN'").select(F.col("src").alias("id"), F.concat(F.lit("K:"), "dst").alias("community"))
