@@ -11,10 +11,12 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.graph import shuffles_removed
+
 #: Columns of a record; which of them count depends on its kind: chunk, entity or relation.
 RECORDS = (
     "kind string, id string, name string, type string, description string, confidence double, embedding array<float>, chunk_ids array<string>, "
@@ -28,6 +30,7 @@ TABLES = {
     "link": (["chunk_id", "entity_id"], []),
     "relation": (["src", "predicate", "dst"], ["description", "confidence"]),
 }
+CHANGES = ("NEW", "MODIFIED", "EMBEDDING_ONLY", "UNCHANGED", "NO_KEY")
 _STATE = ["content_hash", "embedding_hash", "version", "created_at", "updated_at"]
 _KINDS = {"position": "long", "confidence": "double", "embedding": "array<float>", "version": "int", "created_at": "timestamp", "updated_at": "timestamp"}
 
@@ -128,9 +131,9 @@ def _incoming(records: DataFrame, name: str) -> DataFrame:
     else:
         rows = records.where(F.col("kind") == name).select(*keys, *values, "loaded_at")
     embedding = F.when(F.size("embedding") > 0, F.sha2(F.to_json("embedding"), 256)) if "embedding" in values else F.lit(None).cast("string")
-    # What is shuffled has the hashes once, as bytes, which sort as their digits do; those of the newest rows are made again.
+    # Rows are shuffled without hashes, which don't compress. Those by which they are ordered are bytes, which sort as their digits do.
     order = F.struct("loaded_at", F.unhex(_digest(keys + values)).alias("content"), F.unhex(embedding).alias("vector"))
-    newest = _newest(rows, keys, values + ["loaded_at"], order).withColumn("content_hash", _digest(keys + values)).withColumn("embedding_hash", embedding)
+    newest = _newest(rows.repartition(*keys), keys, values + ["loaded_at"], order).withColumn("content_hash", _digest(keys + values)).withColumn("embedding_hash", embedding)
     return newest.withColumn("keyed", reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
 
 
@@ -165,30 +168,33 @@ def load(records: DataFrame, path: str, source: str, batch: int, least: float =
     """Add a batch of RECORDS to a store: chunks, entities, their links, then relations. False if it was there already.
 
     A batch counts as there by its source and number, which only grow. Records with a null or another kind are counted in the
-    report alone. The batch is read once and kept for the load; lost parts of it are read again.
+    report alone. The batch is read once and kept beside the store for the load, in batch/. What is shuffled for a table
+    goes when the table is written; what changed is counted on the way, so that no table is kept besides.
     """
     spark = records.sparkSession
     done = commits(spark, path)
     if any(m.source == source and m.batch >= batch for m in done):
         return False
     number = max((m.number for m in done), default=-1) + 1
-    rows = records.select(*(c.split()[0] for c in RECORDS.split(", "))).persist()
-    kept = [rows]
-    try:
+    batch_path = f"{path}/batch/load={number}"
+    with shuffles_removed(spark):
+        records.select(*(c.split()[0] for c in RECORDS.split(", "))).write.mode("overwrite").option("compression", "zstd").parquet(batch_path)
+        rows = spark.read.schema(RECORDS).parquet(batch_path)
         counts = rows.where("kind is null or kind not in ('chunk', 'entity', 'relation')").groupBy().agg(F.count("*").alias("n")).select(F.lit("other").alias("kind"), F.lit("IGNORED").alias("change"), "n")
         covered = rows.where("kind = 'entity' and size(embedding) > 0").groupBy().agg(F.count("*").alias("n")).select(F.lit("entity"), F.lit("WITH_VECTOR"), "n")
         counts = counts.unionAll(covered)
+        told = []
         for name in TABLES:
             # Relations are compared by their confidence, so their hashes stay where they are.
             narrow = ["version", "created_at"] + (["confidence"] if name == "relation" else ["content_hash", "embedding_hash"])
-            found = changes(_incoming(rows, name), _stored(spark, path, name, narrow), name, least).persist()
-            kept.append(found)
+            seen = Observation()
+            found = changes(_incoming(rows, name), _stored(spark, path, name, narrow), name, least).observe(seen, *(F.count_if(F.col("change") == c).alias(c) for c in CHANGES))
             found.where("change in ('NEW', 'MODIFIED', 'EMBEDDING_ONLY')").drop("change").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}/load={number}")
-            counts = counts.unionAll(found.groupBy("change").agg(F.count("*").alias("n")).select(F.lit(name), "change", "n"))
+            told += [(name, c, n) for c, n in seen.get.items()]
+        counts = counts.unionAll(spark.createDataFrame(told, "kind string, change string, n long"))
         counts.where("n > 0").select(F.lit(number).alias("number"), "kind", "change", "n").coalesce(1).write.mode("overwrite").parquet(f"{path}/report/load={number}")
-    finally:
-        for df in kept:
-            df.unpersist()
+    fs, p = _fs(spark, f"{path}/batch")
+    fs.delete(p, True)
     _commit(spark, path, Mark(number, source, batch))
     return True
 
