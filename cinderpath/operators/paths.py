@@ -12,15 +12,36 @@ from .graph import cut
 
 #: Labels a pair that a first search follows; a pair that needs more is searched again with four times as many.
 WIDTH = 16
+#: Links at either end of a node's order that are looked at before all of them.
+EDGE = 16
+
+
+def _ranked(links: DataFrame) -> DataFrame:
+    """a, b, r (the place of b among a's links, in their order), n (how many these are)."""
+    of = Window.partitionBy("a")
+    return links.withColumn("r", F.row_number().over(of.orderBy("b"))).withColumn("n", F.count("*").over(of))
 
 
 def _before(links: DataFrame, back: DataFrame | None, ends: DataFrame) -> DataFrame:
     """end, node, low, high: nodes a step further from an end than those of `back`, with the least and the greatest next
-    node of a walk that never turns straight back nor meets its end before. Two are enough to avoid any one node."""
+    node of a walk that never turns straight back nor meets its end before. Two are enough to avoid any one node.
+
+    A node's first and last EDGE links (of `_ranked`) are looked at: what is found among both is the least and the greatest.
+    All links are looked at of nodes for which these don't tell of every end."""
     if back is None:
         return ends.select("end", F.col("end").alias("node"), F.lit(None).cast(ends.schema["end"].dataType).alias("low"), F.col("end").alias("high"))
-    rows = links.join(back.withColumnRenamed("node", "b"), "b").where("a <> end and (low is null or low <> a or high <> a)")
-    return rows.groupBy("end", F.col("a").alias("node")).agg(F.min("b").alias("low"), F.max("b").alias("high"))
+
+    def walked(some: DataFrame) -> DataFrame:
+        rows = some.join(back.withColumnRenamed("node", "b"), "b").where("a <> end and (low is null or low <> a or high <> a)")
+        return rows.groupBy("end", F.col("a").alias("node")).agg(F.min("b").alias("low"), F.max("b").alias("high"), F.min("r").alias("first"), F.max("r").alias("last"), F.first("n").alias("n"))
+
+    few = cut(walked(links.where((F.col("r") <= EDGE) | (F.col("r") > F.col("n") - EDGE))))
+    whole = F.col("n") <= 2 * EDGE
+    told = few.where(~whole & (F.col("first") <= EDGE) & (F.col("last") > F.col("n") - EDGE)).unionByName(ends.select("end", F.col("end").alias("node")), allowMissingColumns=True)
+    told = cut(told.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") == ends.count()).select("node"))
+    rest = links.where(~whole).join(told.withColumnRenamed("node", "a"), "a", "left_anti")
+    columns = ["end", "node", "low", "high"]
+    return few.where(whole).select(columns).unionByName(few.where(~whole).join(told, "node", "left_semi").select(columns)).unionByName(walked(rest).select(columns))
 
 
 def best_paths(both: DataFrame, pairs: DataFrame, k: int = 3, hops: int = 5) -> DataFrame:
@@ -31,20 +52,21 @@ def best_paths(both: DataFrame, pairs: DataFrame, k: int = 3, hops: int = 5) ->
     What is dropped is greater than all that is kept, so that k paths of those kept are the best; a pair that gets fewer
     after a drop is searched again with more labels, all of them in the end: the result is that of listing all paths.
     """
-    links = cut(both.select("a", "b").where("a <> b").distinct())
+    links = cut(_ranked(both.select("a", "b").where("a <> b").distinct()))
     open_ = cut(pairs.select("start", "end").where("start <> end").distinct().withColumn("n", F.lit(0)))
     order = Window.partitionBy("start", "end").orderBy("path")
+    ends = cut(open_.select("end").distinct())
     backs: list[DataFrame] = []
     found = None
     for d in range(1, hops + 1):
-        backs.append(cut(_before(links, backs[-1] if backs else None, open_.select("end").distinct())))
+        backs.append(cut(_before(links, backs[-1] if backs else None, ends)))
         todo, width, all_got = open_, max(WIDTH, k), None
         while True:
             front = todo.select("start", "end", F.col("start").alias("a"), F.array("start").alias("path"))
             short = None
             for left in range(d - 1, -1, -1):
                 on = backs[left].withColumnRenamed("node", "b")
-                step = front.join(links, "a").where(~F.array_contains("path", F.col("b"))).join(on, ["end", "b"])
+                step = front.join(links.select("a", "b"), "a").where(~F.array_contains("path", F.col("b"))).join(on, ["end", "b"])
                 step = step.where("low is null or low <> a or high <> a").select("start", "end", F.col("b").alias("a"), F.concat("path", F.array("b")).alias("path"))
                 kept = cut(step.withColumn("r", F.row_number().over(order)).where(F.col("r") <= width + 1))
                 front = kept.where(F.col("r") <= width)
@@ -89,7 +111,8 @@ def path_evidence(paths: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     steps = paths.select("start", "end", "pick", F.posexplode("path").alias("i", "node"), F.size("path").alias("size"), "path")
     steps = steps.withColumn("next", F.try_element_at("path", F.col("i") + 2)).drop("path")
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "predicate").unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("next"), "predicate"))
-    kinds = both.groupBy("node", "next").agg(F.min("predicate").alias("predicate"))
+    walked = steps.where("next is not null").select("node", "next").distinct()
+    kinds = both.join(walked, ["node", "next"], "left_semi").groupBy("node", "next").agg(F.min("predicate").alias("predicate"))
     named = steps.join(nodes.select(F.col("id").alias("node"), "name", "relevance"), "node", "left").join(kinds, ["node", "next"], "left")
     part = F.concat(F.coalesce("name", "node"), F.when(F.col("next").isNotNull(), F.concat(F.lit(" →["), F.coalesce("predicate", F.lit("UNKNOWN")), F.lit("]→ "))).otherwise(F.lit("")))
     whole = named.groupBy("start", "end", "pick").agg(F.array_sort(F.collect_list(F.struct("i", part.alias("t")))).alias("parts"), (F.coalesce(F.sum("relevance"), F.lit(0.0)) / F.first("size")).alias("mean"), (F.first("size") - 1).alias("length"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import paths as P
 from ..operators.graph import cut
 from ..session import table
-from .model import CHUNKS, EDGES, ENTITIES, chunks, edges, entities, undirected
+from .model import CHUNKS, EDGES, ENTITIES, chunks, edges, entities
 from .registry import query
 
 #: All simple paths of at most five hops between nations, by the pairs' order; a node is followed only if a nation can still be reached.
@@ -32,20 +32,22 @@ def _nodes(spark, sf_dir):
 
 
 def _links(spark, sf_dir):
-    return edges(spark, sf_dir).select("src", "dst", F.col("rel_type").alias("predicate"))
+    return cut(edges(spark, sf_dir).select("src", "dst", F.col("rel_type").alias("predicate")))
 
 
-def _topic_paths(spark, sf_dir):
+def _topic_paths(spark, sf_dir, links):
     nations = entities(spark, sf_dir).where("id like 'N:%'").select("id")
     pairs = nations.select(F.col("id").alias("start")).join(nations.select(F.col("id").alias("end")), F.col("start") < F.col("end"))
-    return P.best_paths(undirected(edges(spark, sf_dir)), pairs, 3, 5)
+    both = links.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(links.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    return P.best_paths(both, pairs, 3, 5)
 
 
 @query(_TOPICS + f"SELECT start, \"end\", t.pick, array_to_string(path, '>') AS path, content, round({_PATH_SCORE}, 6) AS score FROM topic t JOIN told USING (start, \"end\", pick)")
 def topic_paths(spark, sf_dir):
     """The three best paths of each pair of nations over the whole graph, and what they tell."""
-    paths = _topic_paths(spark, sf_dir)
-    told = P.path_evidence(paths, _nodes(spark, sf_dir), _links(spark, sf_dir))
+    links = _links(spark, sf_dir)
+    paths = _topic_paths(spark, sf_dir, links)
+    told = P.path_evidence(paths, _nodes(spark, sf_dir), links)
     keyed = paths.withColumn("key", F.concat_ws("|", "start", "end", "pick")).join(told, "key")
     return keyed.select("start", "end", "pick", F.array_join("path", ">").alias("path"), F.expr("substring(content, 18)").alias("content"), F.round("score", 6).alias("score"))
 
@@ -81,6 +83,6 @@ def extracted_evidence(spark, sf_dir):
         P.entity_evidence(customers.where("c_acctbal > 9000").select(F.concat(F.lit("C:"), "c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"), (F.col("c_acctbal") / 10000).alias("score"))),
         P.community_evidence(groups.select(F.concat(F.lit("N:"), "n_nationkey").alias("id"), F.concat("n_name", F.lit(": "), "n", F.lit(" members")).alias("summary"), F.lit(None).cast("double").alias("score"))),
         P.row_evidence(poor.select(F.concat(F.lit("S:"), "s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("number"), F.lit(None).cast("double").alias("score")), ["name", "number"]),
-        P.path_evidence(_topic_paths(spark, sf_dir), nodes, links),
+        P.path_evidence(_topic_paths(spark, sf_dir, links), nodes, links),
     ]
     return P.first_of_producers(producers).select("id", "producer", "content", "kind", F.round("score", 6).alias("score"), "hop", "length")
